@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import token_counts, url_filter
+from affinity.llm import near_dedup, token_counts, url_filter
 from affinity.llm.common import table
 
 #: Tokens a document may have before op8 marks it.
@@ -29,6 +29,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {TOKEN_LIMIT} AS over_limit", "fits_chars")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "n_shingles", "component_id", "doc_id = component_id AS kept")
+
+
 def _op4_sql() -> str:
     """The same verdicts, each rule tried on each URL."""
     ranked = sorted(url_filter.SITE_RULES + url_filter.PATTERN_RULES, key=lambda r: (r.kind != "site", -r.weight, r.name))
@@ -48,6 +53,7 @@ def _op4_sql() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op8_token_counts": op8_token_counts,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 
