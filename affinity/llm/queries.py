@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from affinity.llm import near_dedup, token_counts, url_filter
+from affinity.llm import near_dedup, quality, token_counts, url_filter
 from affinity.llm.common import table
 
 #: Tokens a document may have before op8 marks it.
 TOKEN_LIMIT = 4096
+#: The least score of op5 that counts as good.
+QUALITY_LEAST = 0.3
 TOKENIZER = "piece_bpe_32k.model"
 
 
@@ -24,6 +27,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.SITE_RULES + url_filter.PATTERN_RULES).drop("candidates")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = quality.learn(docs, labels.filter(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.vocabulary(tokenizer_path()), TOKEN_LIMIT, tables=False)
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {TOKEN_LIMIT} AS over_limit", "fits_chars")
@@ -52,6 +62,7 @@ def _op4_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op8_token_counts": op8_token_counts,
     "op10_near_dedup": op10_near_dedup,
 }
