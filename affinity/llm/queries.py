@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import near_dedup, quality, token_counts, url_filter
+from affinity.llm import html_text, near_dedup, quality, token_counts, url_filter
 from affinity.llm.common import table
 
 #: Tokens a document may have before op8 marks it.
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.vocabulary(tokenizer_path()), TOKEN_LIMIT, tables=False)
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {TOKEN_LIMIT} AS over_limit", "fits_chars")
@@ -63,6 +67,7 @@ def _op4_sql() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
+    "op6_html_text": op6_html_text,
     "op8_token_counts": op8_token_counts,
     "op10_near_dedup": op10_near_dedup,
 }
