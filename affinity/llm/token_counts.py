@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Tables kept for pieces of text in each Python worker, and the longest such piece.
-KEPT, KEPT_CHARS = 600_000, 40
+KEPT, KEPT_CHARS = 700_000, 40
+#: The work on the first so many code points of pieces is kept as well.
+HEAD, KEPT_HEADS = 7, 200_000
 
 
 def vocabulary(model_file: str) -> dict[str, float]:
@@ -50,11 +52,10 @@ class PrefixCounter:
         self.scores = pieces
         self.ids = {p: k for k, p in enumerate(pieces, 1)}
         self.text_of = ["", *pieces]
-        self.longest = max(map(len, pieces), default=1)
         # ends of pieces: a substring outside this set ends no piece, however far it is extended
         self.tails = {p[k:] for p in pieces for k in range(len(p))}
-        self.pairs: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.after = _After(self)
+        self.heads: dict[str, tuple[list, list]] = {}
         self.spaced = _Tables(self, MARK)
         self.plain = _Tables(self, "")
 
@@ -72,45 +73,33 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, token: int) -> bool:
-        known = self.alone.get(token)
-        if known is None:
-            known = self.alone[token] = len(self.merged(self.text_of[token])) == 1
-        return known
-
-    def valid(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is None:
-            a, b = self.text_of[left], self.text_of[right]
-            known = self.pairs[key] = self.merged(a + b) == [a, b]
-        return known
-
     def counts(self, s: str) -> list[int]:
         """Token counts of the prefixes of 1, 2, ... code points of a text without cuts."""
-        ids, tails, pairs = self.ids, self.tails, self.pairs
-        count, last = [0] * (len(s) + 1), [0] * (len(s) + 1)  # last: 0 where a byte or the start stands
-        for j in range(1, len(s) + 1):
-            found: list[int] = []
+        id_of, tails, after = self.ids.get, self.tails, self.after
+        count, follows = [0], [after[0]]  # follows: whether a token may come next, by token
+        head = s[:HEAD]
+        if known := self.heads.get(head):
+            count, follows = known[0].copy(), known[1].copy()
+        for j in range(len(count), len(s) + 1):
+            if j == HEAD + 1 and not known:
+                if len(self.heads) >= KEPT_HEADS:
+                    self.heads.clear()
+                self.heads[head] = count.copy(), follows.copy()
+            found = []
             i = j - 1
             while i >= 0 and (piece := s[i:j]) in tails:
-                if piece in ids:
-                    found.append(i)
+                if token := id_of(piece):
+                    found.append((i, token))
                 i -= 1
-            for i in reversed(found):
-                token, before = ids[s[i:j]], last[i]
-                if before:
-                    ok = pairs.get(before << 32 | token)
-                    if ok is None:
-                        ok = self.stands(token) and self.valid(before, token)
-                        pairs[before << 32 | token] = ok
-                else:
-                    ok = self.stands(token)
-                if ok:
-                    count[j], last[j] = count[i] + 1, token
+            while found:
+                i, token = found.pop()
+                if follows[i][token]:
+                    count.append(count[i] + 1)
+                    follows.append(after[token])
                     break
             else:
-                count[j] = count[j - 1] + len(s[j - 1].encode("utf-8", "surrogatepass"))
+                count.append(count[-1] + len(s[j - 1].encode("utf-8", "surrogatepass")))
+                follows.append(after[0])
         return count[1:]
 
     def table(self, text: str | None) -> np.ndarray:
@@ -142,22 +131,54 @@ def _first(counts: list[int]) -> bytes:
     return np.diff(np.array(counts[1:], np.int64), prepend=0).astype(np.int8).tobytes()
 
 
+class _After(dict):
+    """By token, what may follow it; 0 stands for the start and for bytes."""
+
+    def __init__(self, counter: PrefixCounter):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, left: int) -> _Follows:
+        f = self[left] = _Follows(self.counter, left)
+        return f
+
+
+class _Follows(dict):
+    """Whether a token stands alone and forms a valid pair with the one before it."""
+
+    def __init__(self, counter: PrefixCounter, left: int):
+        super().__init__()
+        self.counter, self.left = counter, left
+
+    def __missing__(self, right: int) -> bool:
+        c, b = self.counter, self.counter.text_of[right]
+        if not self.left:
+            ok = len(c.merged(b)) == 1
+        else:
+            a = c.text_of[self.left]
+            ok = c.after[0][right] and c.merged(a + b) == [a, b]
+        self[right] = ok
+        return ok
+
+
 class _Tables(dict):
-    """Changes of the count by piece of text, with a mark before it or not."""
+    """Changes of the count by piece of text, with a mark before it or not.
+
+    When full it becomes the old generation, from which pieces in use come back.
+    """
 
     def __init__(self, counter: PrefixCounter, before: str):
         super().__init__()
-        self.counter, self.before = counter, before
+        self.counter, self.before, self.old = counter, before, {}
 
     def __missing__(self, word: str) -> bytes:
-        counts, at = self.counter.counts(self.before + word), 0
-        out = bytearray()
-        for c in counts:
-            out.append((c - at) & 255)
-            at = c
-        out = bytes(out)
+        out = self.old.get(word)
+        if out is None:
+            counts = self.counter.counts(self.before + word)
+            out = bytes([(c - b) & 255 for b, c in zip([0, *counts], counts)])
         if len(word) <= KEPT_CHARS:
             if len(self) >= KEPT:
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out
