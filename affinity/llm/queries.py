@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import html_text, near_dedup, quality, token_counts, url_filter
+from affinity.llm import ann, html_text, impact_topk, near_dedup, quality, token_counts, url_filter
 from affinity.llm.common import table
 
 #: Tokens a document may have before op8 marks it.
@@ -23,6 +23,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.SITE_RULES + url_filter.PATTERN_RULES).drop("candidates")
 
@@ -38,6 +42,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.vocabulary(tokenizer_path()), TOKEN_LIMIT, tables=False)
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {TOKEN_LIMIT} AS over_limit", "fits_chars")
@@ -64,14 +72,25 @@ def _op4_sql() -> str:
     """
 
 
+_OP7_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+    pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+    SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
     "op6_html_text": op6_html_text,
+    "op7_exact_topk": op7_exact_topk,
     "op8_token_counts": op8_token_counts,
     "op10_near_dedup": op10_near_dedup,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": _op4_sql()}
+    return {"op4_url_filter": _op4_sql(), "op7_exact_topk": _OP7_SQL}
