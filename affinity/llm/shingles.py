@@ -5,17 +5,27 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Word hashes kept in each Python worker.
-KEPT_WORDS = 2_000_000
+#: Word hashes in each of the two generations that a Python worker keeps.
+KEPT_WORDS = 250_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
 
 class _WordHashes(dict):
+    """When full it becomes the old generation, from which words in use come back."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[bytes, int] = {}
+
     def __missing__(self, word: bytes) -> int:
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word)
         if len(self) >= KEPT_WORDS:
+            self.old = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[word] = h
         return h
 
 
