@@ -24,15 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a fit uses at most, and features that one of them may bring to the driver.
 MAX_LABELLED, MAX_FEATURES = 6_000, 6_000
 #: Features: words and word pairs, then shape runs, each in its own half.
 BITS = 18
-KEPT_WORDS = 1_000_000
-PERCENT = 100
+KEPT_WORDS = 400_000
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -206,14 +205,14 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1, higher where label 1 is likelier) of every row."""
+def scorer(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """The score (0 to 1, higher where label 1 is likelier) of a row's whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
-    def scores(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        for pdf in it:
-            yield pd.DataFrame({"id": pdf["id"], "score": [own.score(features(t)) for t in pdf["text"]]})
+        for part in texts:
+            yield pd.Series([own.score(features(t)) for t in part], dtype=float)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(scores, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return scores(F.col(text_col))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import ann, html_text, impact_topk, near_dedup, quality, token_counts, url_filter
+from affinity.llm import ann, html_text, impact_topk, mixing, near_dedup, packing, quality, token_counts, url_filter
 from affinity.llm.common import table
 
 #: Tokens a document may have before op8 marks it.
 TOKEN_LIMIT = 4096
 #: The least score of op5 that counts as good.
 QUALITY_LEAST = 0.3
+#: Shares of all tokens that op3 gives the languages.
+LANGUAGES = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 TOKENIZER = "piece_bpe_32k.model"
 
 
@@ -27,15 +29,35 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The language of the documents that the labels table covers."""
+    return docs.join(labels.select("doc_id").distinct(), "doc_id").select("doc_id", F.col("lang").alias("domain"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, labelled_languages(docs, table(spark, sf_dir, "labels")), LANGUAGES)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.SITE_RULES + url_filter.PATTERN_RULES).drop("candidates")
 
 
+def quality_held_out() -> Column:
+    """Documents whose labels are never learnt from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = quality_held_out()
     model = quality.learn(docs, labels.filter(~held_out))
-    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", quality.scorer(docs, model).alias("score"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +105,8 @@ _OP7_SQL = """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
+    "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
     "op6_html_text": op6_html_text,
