@@ -6,10 +6,10 @@
 3. Classes that share a band key are compared with a few members chosen as
    pivots of that key, not with one another.  Pairs whose signatures agree often
    enough are confirmed on their full sets, and the links give components.
-4. Where a key still holds several components, all pairs across them are
-   compared by signature, block by block, and confirmed in the same way.  Pairs
-   within a component cannot change it.  So the components are those of all
-   pairs that share a key, without making all pairs of a group of copies.
+4. Where a key still holds several components, the members of different ones
+   are compared by signature and then by full set, block by block.  Pairs within
+   a component cannot change it.  So the components are those of all pairs that
+   share a key, without making all pairs of a group of copies.
 
 With 32 bands of 4 a pair at similarity 0.75 shares no key with probability
 under 1e-5, and its signatures agree too seldom with probability under 1e-6.
@@ -78,9 +78,8 @@ def _agreeing(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
     return both.mapInPandas(compare, "a long, b long").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id and set (its sorted hashes as bytes) of the rows with these ids."""
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -88,48 +87,81 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         for pdf in it:
             yield pd.DataFrame({"id": pdf["id"], "set": [shingle_set(t, width).tobytes() for t in pdf["text"]]})
 
+    return written(wanted.mapInPandas(sets, "id long, set binary"), "sets")
+
+
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+
     def confirm(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            keep = []
-            for x, y in zip(pdf["sa"], pdf["sb"]):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep = [_similar(x, y, percent) for x, y in zip(pdf["sa"], pdf["sb"])]
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    found = written(wanted.mapInPandas(sets, "id long, set binary"), "sets")
+    found = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     links = written(both.mapInPandas(confirm, "a long, b long"), "links")
     forget(found)
     return links
 
 
-def _across(members: DataFrame, least: int) -> DataFrame:
-    """Pairs of a key's members in different components whose signatures agree.
+def _across(placed: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, percent: int, least: int) -> DataFrame:
+    """Links between members of a key that are not in one component.
 
-    members: key, size (members of the key), id, component, sig.  A key is cut
-    into blocks, and each pair of blocks is compared by itself.
+    placed: key, id, component.  The rows of a key's largest component (major) are
+    compared with all others (minor), and these among themselves, in pairs of
+    blocks.  Within such a pair, comparing stops for rows that a link found there
+    has brought together, so what comes out are a few links for each component.
+    A pair that shares several keys is compared under the first of them.
     """
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spread = members.withColumn("blocks", blocks).withColumn("own", own)
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sig")
+    by_part = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    by_key = by_part.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("parts")).filter("parts > 1 AND size > 2")
+    major = by_part.join(by_key, "key").filter("n = most").groupBy("key", "size", "most").agg(F.min("component").alias("major"))
+    open_ = written(placed.join(major, "key"), "open")
+    full = _sets(docs, open_.select("id").distinct(), width)
+    members = open_.join(chosen.select("id", "sig", "bands"), "id").join(full, "id")
+    minor = F.col("component") != F.col("major")
+    members = members.select("key", "id", "component", "sig", "bands", "set", minor.alias("minor"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("x"), F.ceil(F.col("most") / BLOCK).cast("int").alias("y"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("x")).otherwise(F.col("y"))).cast("int"))
+    # minor block i meets major block j in (i, j), and minor block j in (i, -1 - j)
+    whole = lambda n: F.sequence(F.lit(0), n - 1)
+    own, x, y = F.col("own"), F.col("x"), F.col("y")
+    to_minor = F.transform(whole(x), lambda k: F.struct(F.least(own, k).alias("i"), (F.lit(-1) - F.greatest(own, k)).alias("j")))
+    to_major = F.transform(whole(y), lambda k: F.struct(own.alias("i"), k.alias("j")))
+    from_major = F.transform(whole(x), lambda k: F.struct(k.alias("i"), own.alias("j")))
+    spread = members.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(to_minor, to_major)).otherwise(from_major)))
+    spread = spread.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "minor", "own", "id", "component", "sig", "bands", "set")
     spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+    def links(g: pd.DataFrame) -> list[tuple[int, int]]:
+        key, i, j = g["key"].iat[0], g["i"].iat[0], g["j"].iat[0]
         sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
-        ids, component, own = g["id"].to_numpy(), g["component"].to_numpy(), g["own"].to_numpy()
-        a, b = [], []
-        apart = g["i"].iat[0] != g["j"].iat[0]
-        for k in range(len(g)):
-            rest = np.flatnonzero((component[k + 1 :] != component[k]) & ((own[k + 1 :] != own[k]) | (not apart))) + k + 1
+        bands = np.array(g["bands"].tolist(), np.int64)
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        ids, sets, own, is_minor = g["id"].to_numpy(), g["set"].tolist(), g["own"].to_numpy(), g["minor"].to_numpy()
+        component = g["component"].to_numpy().copy()
+        out = []
+        for k in np.flatnonzero(is_minor):
+            if j >= 0:
+                may = ~is_minor
+            else:
+                may = np.arange(len(g)) > k if i == -1 - j else own > own[k]
+            rest = np.flatnonzero(may & (component != component[k]))
+            rest = rest[(sig[rest] == sig[k]).sum(axis=1) >= least]
             if len(rest):
-                hit = rest[(sig[rest] == sig[k]).sum(axis=1) >= least]
-                a += [ids[k]] * len(hit)
-                b += ids[hit].tolist()
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                rest = rest[(bands[rest] == bands[k]).argmax(axis=1) == band]
+            # the likeliest first
+            for m in rest[np.argsort(-(sig[rest] == sig[k]).sum(axis=1), kind="stable")]:
+                if component[m] != component[k] and _similar(sets[k], sets[m], percent):
+                    out.append((int(ids[k]), int(ids[m])))
+                    component[component == component[m]] = component[k]
+        return out
 
     def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -137,16 +169,18 @@ def _across(members: DataFrame, least: int) -> DataFrame:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            at = np.flatnonzero((pdf[["key", "i", "j"]].to_numpy()[1:] != pdf[["key", "i", "j"]].to_numpy()[:-1]).any(axis=1)) + 1
-            bounds = [0, *at.tolist()]
-            found = [pairs(pdf.iloc[x:y]) for x, y in zip(bounds, bounds[1:]) if y - x > 1]
+            at = pdf[["key", "i", "j"]].to_numpy()
+            bounds = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()]
+            found = [link for x, y in zip(bounds, bounds[1:]) for link in links(pdf.iloc[x:y])]
             held = pdf.iloc[bounds[-1] :]
-            if found:
-                yield pd.concat(found)
-        if held is not None and len(held) > 1:
-            yield pairs(held)
+            yield pd.DataFrame(found, columns=["a", "b"])
+        if held is not None and len(held):
+            yield pd.DataFrame(links(held), columns=["a", "b"])
 
-    return spread.mapInPandas(compare, "a long, b long").distinct()
+    found = written(spread.mapInPandas(compare, "a long, b long").distinct(), "links")
+    forget(open_)
+    forget(full)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 75, hashes: int = 128, rows: int = 4) -> DataFrame:
@@ -181,14 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _linked(first, docs, width, percent)
     so_far = connected_components(links)
 
-    # keys whose members are not in one component yet
-    placed = members.select("key", "size", "id").join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.select("key", "id").join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = written(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    # two members were compared with each other if one of them is a pivot, so keys of two are done
-    rest = placed.filter("size > 2").join(split, "key", "left_semi").join(chosen.select("id", "sig"), "id")
-    second = written(_across(rest, least).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _linked(second, docs, width, percent)
+    more = _across(placed, chosen, docs, width, percent, least)
 
     components = connected_components(links.unionByName(more).unionByName(tied))
 
@@ -201,12 +230,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(none, F.col("id")).otherwise(F.col("class")).alias("class_id"),
         F.when(none, F.col("id")).otherwise(F.col("component")).alias("component_id"),
     )
-    for t in (members, placed, first, second):
+    for t in (members, placed, first):
         forget(t)
     return result
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **how).filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of ``docs`` whose id is the least of its component, with all their columns.
+
+    Rows without an id stay, and rows that repeat an id stay or go together.
+    """
+    gone = near_duplicates(docs, id_col, text_col, **how).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast(docs.schema[id_col].dataType)).distinct()
+    gone = written(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(docs.columns)
