@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import ann, html_text, impact_topk, mixing, near_dedup, packing, quality, token_counts, url_filter
+from affinity.llm import ann, html_text, impact_topk, lm_score, mixing, near_dedup, packing, quality, token_counts, url_filter
 from affinity.llm.common import table
 
 #: Tokens a document may have before op8 marks it.
@@ -73,6 +73,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {TOKEN_LIMIT} AS over_limit", "fits_chars")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), F.crc32(F.col("id").cast("string")) % 7 == 2)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "n_shingles", "component_id", "doc_id = component_id AS kept")
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": op6_html_text,
     "op7_exact_topk": op7_exact_topk,
     "op8_token_counts": op8_token_counts,
+    "op9_lm_score": op9_lm_score,
     "op10_near_dedup": op10_near_dedup,
 }
 
