@@ -5,8 +5,8 @@ vectors is indexed by component: postings sorted by impact, equal impacts being
 one segment.  A query takes segments of all components in the order of what they
 add to a score, largest first, and adds them up by vector.  At intervals it
 compares, for every vector, the most it may still reach - what it has plus, for
-each component not met yet, the largest impact left there - with a score that k
-vectors are known to reach.  It stops only when few vectors are left that may
+each component not met yet, the most that is left to add there or in any such
+component - with a score that k vectors are known to reach.  It stops only when few vectors are left that may
 get there, and these are scored exactly, so the result is proven to be whole.
 
 Each query meets one block first; its k-th score there is the threshold that
@@ -32,54 +32,68 @@ from affinity.llm import vectors
 from affinity.llm.common import written
 
 #: Vectors of an index block and queries of a query block.
-BLOCK, QUERY_BLOCK = 4_096, 512
-#: Shares of the postings after which a query looks whether it may stop, and vectors it scores exactly at once.
-LOOKS, EXACT = (0.12, 0.25, 0.4, 0.6, 0.8, 1.0), 128
+BLOCK, QUERY_BLOCK = 8_192, 512
+#: Shares of the postings after which a query looks whether it may stop, and vectors (or a sixth of a block) it scores exactly at once.
+LOOKS, EXACT = (0.5, 0.65, 0.8, 1.0), 128
 
 
 class ImpactIndex:
     """Postings of a block of whole-number vectors by component, in the order of their impact."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x  # n rows, one column for each component
+        self.x = x.astype(np.float64)  # n rows, one column for each component; sums stay exact below 2^53
         self.order = np.argsort(x, axis=0, kind="stable").T.copy()  # by component: rows from the least impact up
         self.impacts = np.take_along_axis(x.T, self.order, axis=1)
 
     def top(self, q: np.ndarray, k: int, known: float, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the k best, or of those that reach ``known`` if that proves fewer enough."""
         n = len(self.x)
-        parts = np.flatnonzero(q)
-        if not len(parts) or n <= EXACT:
+        parts = np.flatnonzero(q).tolist()
+        exact = max(EXACT, n // 6)
+        if not parts or n <= exact:
             return self._exact(np.arange(n), q, k, known, names)
-        # what the postings of each component add, largest first
-        up = q[parts] > 0
-        adds = [(self.impacts[d][::-1] if u else self.impacts[d]) * q[d] for d, u in zip(parts, up)]
-        rows = [self.order[d][::-1] if u else self.order[d] for d, u in zip(parts, up)]
-        levels = np.sort(np.concatenate([a[:: max(1, n // 128)] for a in adds]))[::-1]
-        score, seen, done = np.zeros(n, np.int64), np.zeros((n, len(parts))), [0] * len(parts)
+        weights = [int(q[d]) for d in parts]
+        # levels: what postings add, from a sample of them; only where to look depends on it
+        sample = np.sort((self.impacts[parts, :: max(1, n // 64)] * q[parts, None]).ravel())[::-1]
+        score, met = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        done = [0] * len(parts)  # postings taken of each component
         for share in LOOKS:
-            # whole segments: all postings that add as much as the level or more
-            level = levels[min(int(share * len(levels)), len(levels) - 1)] if share < 1 else None
-            left = np.zeros(len(parts))
-            for j, (a, r) in enumerate(zip(adds, rows)):
-                to = n if level is None else int(np.searchsorted(-a, -level, side="right"))
-                if to > done[j]:
-                    at = r[done[j] : to]
-                    score[at] += a[done[j] : to]
-                    seen[at, j] = 1
+            level = int(sample[min(int(share * len(sample)), len(sample) - 1)]) if share < 1 else None
+            begun, unmet, ahead = 0, 0, None
+            for j, (d, w) in enumerate(zip(parts, weights)):
+                own, rows, from_ = self.impacts[d], self.order[d], done[j]
+                # whole segments: all postings that add as much as the level or more
+                if level is None:
+                    to = n
+                elif w > 0:
+                    to = n - int(np.searchsorted(own, -(-level // w), "left"))
+                else:
+                    to = int(np.searchsorted(own, level // w, "right"))
+                if to > from_:
+                    part = slice(n - to, n - from_) if w > 0 else slice(from_, to)
+                    at = rows[part]
+                    score[at] += own[part] * w
+                    met[at] += 1
                     done[j] = to
-                left[j] = a[to] if to < n else 0
-            most = score + left.sum() - seen @ left
+                if to < n:
+                    left = int(own[n - 1 - to] if w > 0 else own[to]) * w  # the most that is left here
+                    if to:
+                        begun, ahead = begun + 1, left if ahead is None else max(ahead, left)
+                    else:
+                        unmet += left
+                else:
+                    begun += 1
+            most = score + unmet + (begun - met) * (ahead or 0)
             first = np.argpartition(-score, min(k, n - 1))[:k]
             if len(first) >= k:
-                known = max(known, float((self.x[first] @ q).min()))
+                known = max(known, float((self.x[first] @ q.astype(np.float64)).min()))
             may = np.flatnonzero(most >= known)
-            if len(may) <= EXACT or share == 1:
+            if len(may) <= exact or share == 1:
                 return self._exact(may, q, k, known, names)
         raise AssertionError
 
     def _exact(self, at: np.ndarray, q: np.ndarray, k: int, known: float, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = self.x[at] @ q
+        s = (self.x[at] @ q.astype(np.float64)).astype(np.int64)
         reach = s >= known
         at, s = at[reach], s[reach]
         best = np.lexsort((names[at], -s))[:k]
