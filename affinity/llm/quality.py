@@ -17,7 +17,6 @@ the share of label 1 (0.5 without any).  Repeated rows are scored row by row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,39 +30,58 @@ from pyspark.sql import functions as F
 MAX_LABELLED, MAX_FEATURES = 6_000, 6_000
 #: Features: words and word pairs, then shape runs, each in its own half.
 BITS = 18
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_SIGNS = re.compile(rb"[!-/:-@\[-`{-~]+")
-
-
-def _shape(word: bytes) -> int:
-    """A small code of how a word is written."""
-    try:
-        s = word.decode()
-    except UnicodeDecodeError:
-        return 1
-    letters = sum(map(str.isalpha, s))
-    digits = sum(map(str.isdigit, s))
-    case = 0 if not letters else 1 if s.islower() else 2 if s.isupper() and letters > 1 else 3 if s[0].isupper() and s[1:].islower() else 4
+#: Letters, capitals and digits stand for all of their kind; signs stay as they are.
+_KINDS = bytes(ord("a") if k >= 128 or chr(k).islower() else ord("A") if chr(k).isupper() else ord("0") if chr(k).isdigit() else k for k in range(256))
+
+
+def _shape(pattern: bytes) -> int:
+    """A small code of how a word is written: case, size, digits and the signs at its end."""
+    s = pattern.decode("latin-1")
+    lower, upper, digits = s.count("a"), s.count("A"), s.count("0")
+    case = 0 if not lower + upper else 1 if not upper else 2 if not lower and upper > 1 else 3 if s[0] == "A" and upper == 1 else 4
     body = s.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-    tail = xxhash.xxh32_intdigest(s[len(body) :][-3:].encode())
+    tail = xxhash.xxh32_intdigest(s[len(body) :][-3:].encode("latin-1"))
     size = 0 if len(s) < 3 else 1 if len(s) < 8 else 2 if len(s) < 16 else 3 if len(s) < 30 else 4
     mixed = 2 if digits == len(s) else 1 if digits else 0
     return (((case * 5 + size) * 3 + mixed) * 2 + bool(body)) << 24 ^ tail >> 1 | 1
 
 
-class _Words(dict):
-    """Hash and shape of each word."""
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+class _Shapes(dict):
+    def __missing__(self, pattern: bytes) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        found = self[word] = (xxhash.xxh3_64_intdigest(word.lower()), _shape(word))
+        found = self[pattern] = _shape(pattern)
         return found
 
 
+class _Words(dict):
+    """The place of each word in the tables of hashes and shapes."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.shapes, self.patterns = np.zeros(KEPT_WORDS, np.uint64), np.zeros(KEPT_WORDS, np.uint64), _Shapes()
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.hashes[at] = xxhash.xxh3_64_intdigest(word.lower())
+        self.shapes[at] = self.patterns[word.translate(_KINDS)]
+        return at
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) + len(words) > KEPT_WORDS:
+            self.clear()
+            if len(words) > KEPT_WORDS // 2:  # a very long text goes in parts
+                half = len(words) // 2
+                (h, s), (g, t) = self.of(words[:half]), self.of(words[half:])
+                return np.concatenate([h, g]), np.concatenate([s, t])
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.hashes[at], self.shapes[at]
+
+
 _WORDS = _Words()
 
 
@@ -72,9 +90,7 @@ def features(text: str | None) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").split() if text else []
     if not words:
         return np.zeros(0, np.int32)
-    both = np.array([_WORDS[w] for w in words], np.uint64)
-    h, s = both[:, 0], both[:, 1]
-    s = s.copy()
+    h, s = _WORDS.of(words)
     s[1:] += np.uint64(1 << 33) * (h[1:] == h[:-1])  # repeats the word before it
     s[2:] += np.uint64(1 << 34) * (h[2:] == h[:-2])
     half, drop = 1 << (BITS - 1), np.uint64(65 - BITS)

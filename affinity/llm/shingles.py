@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes in each of the two generations that a Python worker keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 60_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
