@@ -12,7 +12,6 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import StringType
 
 # Legal suffixes, quotes, aliases, the seniority ladder, and the ordered rules of both taxonomies.
@@ -88,7 +87,7 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """Compatibility normalisation; plain ASCII never leaves the JVM's value."""
-    return F.coalesce(F.pandas_udf(_nfkc, StringType(), PandasUDFType.SCALAR)(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+    return F.coalesce(F.pandas_udf(_nfkc, StringType())(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def _collapsed(c: Column, strip: str) -> Column:

@@ -46,7 +46,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def bridges(edges: DataFrame, counts: DataFrame, k: int = 15) -> DataFrame:
     """Employers by degree, with their size."""
     top = degrees(edges).orderBy(F.desc("degree"), "first").limit(k)
-    return counts.join(F.broadcast(top), "company").select("company", "degree", F.col("count").alias("size"))  # k rows
+    return counts.join(F.broadcast(top), "company").orderBy(F.desc("degree"), "first").select("company", "degree", F.col("count").alias("size"))  # k rows
 
 
 def cooccurrence_summary(edges: DataFrame) -> DataFrame:
