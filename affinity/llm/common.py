@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space as the contracts define it: \x20 and \x09-\x0D.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark drops a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -43,7 +45,13 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    # the shuffle files behind the table are of no more use once it is there
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

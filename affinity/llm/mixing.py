@@ -100,15 +100,15 @@ def fit_rates(rows: DataFrame, targets: list[float], floor: float = 0.0, total:
     wanted = w * total
     weigh = np.linalg.pinv(overlap + 1e-9 * np.eye(k))
 
-    rate, reached = F.lit(1.0), held
-    for step in range(STEPS):
+    rate, reached, steps = F.lit(1.0), held, 0
+    for steps in range(STEPS + 1):
         residual = (reached - wanted) / tokens
-        if np.abs(residual).max() <= CLOSE:
+        if np.abs(residual).max() <= CLOSE or steps == STEPS:
             break
         push = np.round(weigh @ residual, 12).tolist()
         rate = F.greatest(F.lit(float(floor)), rate - sum((p[j] * F.lit(push[j]) for j in range(k)), F.lit(0.0)))
         reached = np.array(rows.select(rate.alias("r"), "n", "p").agg(*[F.sum(F.col("r") * F.col("n") * F.col("p")[j]) for j in range(k)]).first(), float)
-    return rate, {"tokens": tokens, "total": float(total), "steps": step, "wanted": wanted.tolist(), "reached": reached.tolist(), "residual": float(np.abs((reached - wanted) / tokens).max())}
+    return rate, {"tokens": tokens, "total": float(total), "steps": steps, "wanted": wanted.tolist(), "reached": reached.tolist(), "residual": float(np.abs((reached - wanted) / tokens).max())}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, total: float | None = None) -> DataFrame:
