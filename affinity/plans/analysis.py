@@ -7,7 +7,9 @@ for each estimator table, months, years, and lists with a fixed limit.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 import time
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -178,3 +180,20 @@ def analyze(df: DataFrame, report: ParseReport | None = None, *, cluster_by: str
 def analyze_path(spark: SparkSession, path: str, **how) -> dict:
     df, report = read_export(spark, path)
     return analyze(df, report, **how)
+
+
+def analyze_bytes(spark: SparkSession, raw: bytes, **how) -> dict:
+    """The same for the contents of a file; they pass through the folder that executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    jvm, path = spark.sparkContext._jvm, f"{base.rstrip('/')}/affinity-{uuid.uuid4().hex}.csv"
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(place)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+    try:
+        return analyze_path(spark, path, **how)
+    finally:
+        fs.delete(place, False)

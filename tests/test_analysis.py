@@ -11,7 +11,7 @@ from affinity.errors import ParseError
 from affinity.operators import network, sections, temporal
 from affinity.operators.components import connected_components
 from affinity.plans import report
-from affinity.plans.analysis import analyze, analyze_path
+from affinity.plans.analysis import analyze, analyze_bytes, analyze_path
 from affinity.sources import export
 from affinity.sources.synth import generate, write_sample
 from affinity.streaming import sessions, windowed_counts
@@ -63,6 +63,11 @@ def test_other_headers(spark, tmp_path):
     assert tuple(df.select("position", "company", "connected_on").first()) == ("Dean", "Org", dt.date(2020, 1, 2))
 
 
+def test_bytes(spark):
+    doc = analyze_bytes(spark, MINIMAL.encode(), include_graph=False)
+    assert doc["overview"]["connections"] == 4 and "graph" not in doc
+
+
 def people(spark, rows):
     return export.from_rows(spark, [dict(zip(("first_name", "last_name", "company_raw", "position_raw", "connected_on_raw"), r)) for r in rows])
 
