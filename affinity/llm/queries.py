@@ -107,6 +107,20 @@ _OP7_SQL = """
 """
 
 
+#: All pairs that share a shingle, and all that can be reached; for small tables.
+_OP10_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+    n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+    e AS (SELECT doc_id, unnest(s) AS g FROM s),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+    parts AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN parts USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_packing": op2_packing,
@@ -122,4 +136,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": _op4_sql(), "op7_exact_topk": _OP7_SQL}
+    return {"op4_url_filter": _op4_sql(), "op7_exact_topk": _OP7_SQL, "op10_near_dedup": _OP10_SQL}
