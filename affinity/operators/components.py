@@ -2,36 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that driver and executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="affinity-"))
-    return df.checkpoint()
+from affinity.storage import forget, written
 
 
 def connected_components(edges: DataFrame, a: str = "source", b: str = "target") -> DataFrame:
     """(node, component) of every node; component: the least node of it.
 
     Each round every node takes the least label among itself and its neighbours,
-    then the label that node has by now, so labels travel two ways as far each
-    time.  Rounds stop when the labels no longer change.
+    then the label that node has by now, so labels travel farther each time.
+    Rounds stop when none has changed a label.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct()
-    both = _checkpoint(both)
-    labels = _checkpoint(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
+    both = written(both, "edges")
+    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
     while True:
-        seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(seen, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
-        after = _checkpoint(jump.select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old"))
+        after = written(jump.select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), "labels")
         moved = after.filter("label <> old").limit(1).count()
+        forget(labels)
         labels = after.select("node", "label")
         if not moved:
+            forget(both)
             return labels.select("node", F.col("label").alias("component"))
