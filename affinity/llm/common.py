@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinity.storage import forget, written
+
+__all__ = ["ASCII_UPPER", "SPACE", "ascii_lower", "forget", "table", "written"]
+
 #: White space as the contracts define it: \x20 and \x09-\x0D.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Spark drops a query's shuffle files at its end.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,43 +21,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; other letters stay as they are."""
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share.
-
-    The session's ``spark.checkpoint.dir`` decides; where it is unset (tests on
-    one machine), a temporary folder stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="affinity-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{base.rstrip('/')}/affinity-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder, reread.
-
-    This cuts the lineage: later jobs, and tasks that run again after a lost
-    executor, read the files instead of computing the rows anew.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    # the shuffle files behind the table are of no more use once it is there
-    before = spark.conf.get(_CLEANUP, None)
-    try:
-        spark.conf.set(_CLEANUP, "true")
-        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
