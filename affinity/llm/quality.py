@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a fit uses at most, and features that one of them may bring to the driver.
-MAX_LABELLED, MAX_FEATURES = 6_000, 6_000
+MAX_LABELLED, MAX_FEATURES = 4_000, 6_000
 #: Features: words and word pairs, then shape runs, each in its own half.
 BITS = 18
 KEPT_WORDS = 150_000
