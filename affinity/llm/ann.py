@@ -5,7 +5,8 @@ centroid.  A vector near the boundary of several lists is copied to all of them
 (but to one of several whose centroids are much alike).
 Centroids are few enough to be held in memory, where a neighbourhood graph finds
 those near a vector.  A query reads the lists whose centroids are at most a
-given ratio farther than its nearest one, and compares whole vectors there.
+given ratio farther than its nearest one, and a few more where these are fewer
+(within tight clusters ratios say little), and compares whole vectors there.
 
 The centroids are fitted on at most ``SAMPLE`` vectors; every vector is indexed.
 Equal vectors are indexed once and handed out by id.  Lists are cut into blocks
@@ -34,8 +35,8 @@ SAMPLE, MAX_LISTS, LIST = 20_000, 4_096, 256
 #: Lists that a vector near boundaries is copied to, how much farther than the nearest they may be, and the
 #: share of its distance from a list within which two of its centroids count as one.
 COPIES, NEAR, ALIKE = 4, 1.10, 0.25
-#: Lists that a query reads at most, and how much farther than the nearest they may be.
-PROBES, RATIO = 512, 1.12
+#: Lists that a query reads at most and at least, and how much farther than the nearest the others may be.
+PROBES, LEAST, RATIO = 512, 12, 1.12
 #: Neighbours of a centroid in the graph, and centroids held while a vector is dealt out.
 DEGREE, BEAM = 24, 16
 #: Most vectors and queries in one task's comparison.
@@ -135,16 +136,17 @@ def copies(graph: CentroidGraph, x: np.ndarray) -> list[list[int]]:
 def probes(graph: CentroidGraph, x: np.ndarray) -> list[list[int]]:
     """The lists that each row of x, a query, reads."""
     ids, dist = graph.search(x, PROBES)
-    return [[int(j) for j, dj in zip(near[:PROBES], d[:PROBES]) if j >= 0 and dj <= RATIO * d[0]] for near, d in zip(ids, dist)]
+    return [[int(j) for k, (j, dj) in enumerate(zip(near[:PROBES], d[:PROBES])) if j >= 0 and (k < LEAST or dj <= RATIO * d[0])] for near, d in zip(ids, dist)]
 
 
 def fit(unique: DataFrame, lists: int | None = None) -> CentroidGraph:
     """The graph of centroids for classes (rep, v)."""
     n = unique.count()
     sample = unique.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toPandas()
-    x = np.array(sample["v"].tolist(), np.float64).reshape(len(sample), -1)
-    wanted = lists or min(max(n // LIST, 1), MAX_LISTS, max(len(x) // 4, 1))
-    return CentroidGraph.build(balanced_centroids(x, wanted) if len(x) else np.zeros((1, 1)))
+    if not len(sample):
+        return CentroidGraph.build(np.zeros((1, 1)))
+    x = np.array(sample["v"].tolist(), np.float64)
+    return CentroidGraph.build(balanced_centroids(x, lists or min(max(n // LIST, 1), MAX_LISTS, max(len(x) // 4, 1))))
 
 
 def _dealt(rows: DataFrame, graph: CentroidGraph, deal) -> DataFrame:

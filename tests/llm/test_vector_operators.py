@@ -79,7 +79,7 @@ def test_exact_against_plain_products(spark, monkeypatch, block):
     rows = [(k, r.normal(size=6).round(2)) for k in range(150)] + [(150 + k, [0.5, -0.5, 0.5, 0, 0, 0]) for k in range(60)] + [(300, [0.0] * 6), (350, [-1.0] * 6)]
     x = {k: np.floor(256 * np.array(v, float)).astype(int) for k, v in rows}
     got = {}
-    odd = [None, [], [1.0, None, 0, 0, 0, 0], [float("nan")] * 6, [1.0]]
+    odd = [None, [], [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [1.0]]
     for g in impact_topk.search(vectors(spark, rows, odd).filter("vec_id IS NOT NULL"), F.col("id") % 50 == 0, 5).orderBy("rank").collect():
         got.setdefault(g["query_id"], []).append((g["vec_id"], g["score"]))
     want = {q: [(i, -s) for s, i in sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:5]] for q in x if q % 50 == 0}
