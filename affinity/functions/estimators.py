@@ -20,15 +20,15 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
     return df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count("*").alias("n"))
 
 
-def rounded(c: Column, digits: int) -> Column:
-    """Half up on the binary value, for values of either sign."""
-    scale = float(10**digits)
+def rounded(c: Column | str, digits: int) -> Column:
+    """To so many places by the binary value, which a decimal tie may lie above or below of."""
+    c, scale = (F.col(c) if isinstance(c, str) else c).cast("double"), float(10**digits)
     return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
 
 
 def share(part: Column, whole: Column) -> Column:
     """part / whole to four places, 0 where there is no whole."""
-    return F.coalesce(F.round(F.try_divide(part.cast("double"), whole.cast("double")), 4), F.lit(0.0))
+    return F.coalesce(rounded(F.try_divide(part.cast("double"), whole.cast("double")), 4), F.lit(0.0))
 
 
 def concentration(hist: DataFrame, k: int = 10, x_min: float = 1.0) -> DataFrame:
@@ -59,18 +59,18 @@ def concentration(hist: DataFrame, k: int = 10, x_min: float = 1.0) -> DataFrame
     )
     some = F.coalesce(F.col("total"), F.lit(0.0)) > 0
     m = F.col("m")
-    entropy = F.when(m > 1, F.round("h", 4)).otherwise(F.lit(0.0))
-    alpha = F.when((F.col("tail") >= 10) & (F.col("logs") > 0), F.round(1 + F.col("tail") / F.col("logs"), 3))
+    entropy = F.when(m > 1, rounded("h", 4)).otherwise(F.lit(0.0))
+    alpha = F.when((F.col("tail") >= 10) & (F.col("logs") > 0), rounded(1 + F.col("tail") / F.col("logs"), 3))
     return a.select(
-        F.when(some, F.round(2 * F.col("weighted") / (F.col("N") * F.col("total")) - (F.col("N") + 1) / F.col("N"), 4)).otherwise(F.lit(0.0)).alias("gini"),
-        F.when(m < 1, 0.0).when(m == 1, 1.0).otherwise(F.round(F.greatest(F.try_divide(F.col("squares") - 1 / m, 1 - 1 / m), F.lit(0.0)), 4)).alias("hhi"),
+        F.when(some, rounded(2 * F.col("weighted") / (F.col("N") * F.col("total")) - (F.col("N") + 1) / F.col("N"), 4)).otherwise(F.lit(0.0)).alias("gini"),
+        F.when(m < 1, 0.0).when(m == 1, 1.0).otherwise(rounded(F.greatest(F.try_divide(F.col("squares") - 1 / m, 1 - 1 / m), F.lit(0.0)), 4)).alias("hhi"),
         entropy.alias("entropy"),
-        F.when(m > 1, F.round(F.try_divide(entropy, F.log(m)), 4)).otherwise(F.lit(0.0)).alias("evenness"),
-        F.when(m >= 1, F.round(F.exp(entropy), 2)).otherwise(F.lit(0.0)).alias("effective"),
-        F.when(some, F.round(F.col("top") / F.col("total"), 4)).otherwise(F.lit(0.0)).alias("top_k_share"),
+        F.when(m > 1, rounded(F.try_divide(entropy, F.log(m)), 4)).otherwise(F.lit(0.0)).alias("evenness"),
+        F.when(m >= 1, rounded(F.exp(entropy), 2)).otherwise(F.lit(0.0)).alias("effective"),
+        F.when(some, rounded(F.col("top") / F.col("total"), 4)).otherwise(F.lit(0.0)).alias("top_k_share"),
         alpha.alias("alpha"),
         F.coalesce("median", F.lit(0.0)).alias("median"),
-        F.coalesce(F.round("p95", 2), F.lit(0.0)).alias("p95"),
+        F.coalesce(rounded("p95", 2), F.lit(0.0)).alias("p95"),
         F.coalesce(F.col("N"), F.lit(0.0)).cast("long").alias("n"),
         F.coalesce("total", F.lit(0.0)).alias("total"),
     )
@@ -92,7 +92,7 @@ def modified_z(df: DataFrame, value: str, name: str = "z") -> DataFrame:
     one = spread(histogram(df, value))
     x = F.col(value).cast("double") - F.col("median")
     z = F.when(F.col("mad") > 0, F.lit(0.6745) * x / F.col("mad")).when(F.col("aad") > 0, F.lit(0.7979) * x / F.col("aad")).otherwise(F.lit(0.0))
-    return df.crossJoin(F.broadcast(one)).withColumn(name, F.round(z, 3)).drop("median", "mad", "aad")  # one row
+    return df.crossJoin(F.broadcast(one)).withColumn(name, rounded(z, 3)).drop("median", "mad", "aad")  # one row
 
 
 def ols(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -105,8 +105,8 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
     slope = F.try_divide(F.col("sxy"), F.col("sxx"))
     fit = F.when(F.col("syy") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy")))))
     return s.select(
-        F.when(few | flat, 0.0).otherwise(F.round(slope, 4)).alias("slope"),
-        F.when(few, 0.0).when(flat, F.col("my")).otherwise(F.round(F.col("my") - slope * F.col("mx"), 4)).alias("intercept"),
-        F.when(few | flat, 0.0).otherwise(F.round(fit, 4)).alias("r_squared"),
+        F.when(few | flat, 0.0).otherwise(rounded(slope, 4)).alias("slope"),
+        F.when(few, 0.0).when(flat, F.col("my")).otherwise(rounded(F.col("my") - slope * F.col("mx"), 4)).alias("intercept"),
+        F.when(few | flat, 0.0).otherwise(rounded(fit, 4)).alias("r_squared"),
         "n",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.functions.dates import month_key
+from affinity.functions.estimators import rounded
 from affinity.functions.text import initials
 from affinity.operators.components import connected_components
 
@@ -55,7 +56,7 @@ def cooccurrence_summary(edges: DataFrame) -> DataFrame:
     shape = parts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("nodes"), F.count("*").alias("components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component"))
     one = shape.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))  # one row each
     n = F.col("nodes").cast("double")
-    return one.select("nodes", "edges", F.coalesce(F.round(F.try_divide(F.col("edges").cast("double"), n * (n - 1) / 2), 6), F.lit(0.0)).alias("density"), "components", "largest_component")
+    return one.select("nodes", "edges", F.coalesce(rounded(F.try_divide(F.col("edges").cast("double"), n * (n - 1) / 2), 6), F.lit(0.0)).alias("density"), "components", "largest_component")
 
 
 def public_people(df: DataFrame, redact: bool = False) -> DataFrame:

@@ -42,7 +42,7 @@ def completeness(df: DataFrame) -> DataFrame:
     """What is missing, as counts and as rates of what is there."""
     empty = lambda c: F.count_if(F.btrim(F.coalesce(F.col(c), F.lit(""))) == "")
     counts = df.agg(F.count("*").alias("rows"), empty("company_raw").alias("missing_company"), empty("position_raw").alias("missing_position"), F.count_if(F.col("connected_on").isNull()).alias("unparsed_dates"))
-    rate = lambda c: F.round(1 - F.col(c) / F.greatest("rows", F.lit(1)), 4)
+    rate = lambda c: E.rounded(1 - F.col(c) / F.greatest("rows", F.lit(1)), 4)
     return counts.select("*", rate("missing_company").alias("company"), rate("missing_position").alias("position"), rate("unparsed_dates").alias("connected_on"))
 
 
@@ -90,7 +90,7 @@ def seniority_distribution(df: DataFrame) -> DataFrame:
 def seniority_summary(df: DataFrame) -> DataFrame:
     known = F.expr(KNOWN_LEVEL)
     a = df.agg(F.count("*").alias("n"), F.count_if(known).alias("classified"), F.count_if(F.col("seniority").isin(LEADERSHIP)).alias("leaders"), F.avg(F.when(known, F.col("seniority_rank"))).alias("mean"))
-    return a.select(E.share(F.col("classified"), F.col("n")).alias("classified_rate"), F.coalesce(F.round("mean", 3), F.lit(0.0)).alias("mean_rank"), E.share(F.col("leaders"), F.greatest("classified", F.lit(1))).alias("leadership_share"))
+    return a.select(E.share(F.col("classified"), F.col("n")).alias("classified_rate"), F.coalesce(E.rounded("mean", 3), F.lit(0.0)).alias("mean_rank"), E.share(F.col("leaders"), F.greatest("classified", F.lit(1))).alias("leadership_share"))
 
 
 def function_counts(df: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def function_summary(counts: DataFrame) -> DataFrame:
 
 def seniority_by_year(df: DataFrame, least: int = 3) -> DataFrame:
     by = df.filter(f"connected_on IS NOT NULL AND {KNOWN_LEVEL}").groupBy(F.year("connected_on").cast("long").alias("year"))
-    return by.agg(F.round(F.avg("seniority_rank"), 3).alias("mean_rank"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    return by.agg(E.rounded(F.avg("seniority_rank"), 3).alias("mean_rank"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def seniority_drift(by_year: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def structure(counts: DataFrame, people: DataFrame) -> DataFrame:
     of_companies = counts.agg(F.count("*").alias("companies"), F.coalesce(F.sum("count"), F.lit(0)).alias("edges"), F.coalesce(F.sum(k * (k - 1) / 2), F.lit(0.0)).alias("projected"), F.coalesce(F.max("count"), F.lit(0)).alias("largest"), F.count_if(F.col("count") == 1).alias("singletons"))
     one = of_companies.crossJoin(F.broadcast(people.agg(F.count("*").alias("people"))))  # one row each
     n, alone = F.col("people"), F.col("people") - F.col("edges")
-    safe = lambda a, b, d: F.coalesce(F.round(F.try_divide(a.cast("double"), b.cast("double")), d), F.lit(0.0))
+    safe = lambda a, b, d: F.coalesce(E.rounded(F.try_divide(a.cast("double"), b.cast("double")), d), F.lit(0.0))
     return one.select(
         "people",
         "companies",

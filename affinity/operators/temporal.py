@@ -59,7 +59,7 @@ def half_life(days: DataFrame) -> DataFrame:
     ends = days.agg(F.min("day").alias("first"), F.max("day").alias("last"))
     middle = _placed(days).filter("before + n >= total / 2").agg(F.min("day").alias("half_life"))
     span = F.datediff("last", "first")
-    part = F.when(span > 0, F.round(F.datediff("half_life", "first") / span, 4))
+    part = F.when(span > 0, E.rounded(F.datediff("half_life", "first") / span, 4))
     return middle.crossJoin(F.broadcast(ends)).select("half_life", part.alias("elapsed_fraction"))  # one row each
 
 
@@ -78,7 +78,7 @@ def velocity(days: DataFrame) -> DataFrame:
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     recent, early = F.date_sub("last", 365), F.date_sub("last", 730)
     counts = one.agg(total(F.col("day") > recent).alias("trailing_12m"), total((F.col("day") > early) & (F.col("day") <= recent)).alias("prior_12m"))
-    change = F.round(F.try_divide((F.col("trailing_12m") - F.col("prior_12m")).cast("double"), F.col("prior_12m").cast("double")), 4)
+    change = E.rounded(F.try_divide((F.col("trailing_12m") - F.col("prior_12m")).cast("double"), F.col("prior_12m").cast("double")), 4)
     return counts.select("*", change.alias("pct_change")).select("*", F.when(F.col("pct_change") > 0.1, "expanding").when(F.col("pct_change") < -0.1, "contracting").otherwise("steady").alias("direction"))
 
 
@@ -117,15 +117,15 @@ def era_days(days: DataFrame) -> DataFrame:
     short = (F.size("cuts") > 1) & (F.col("rows") - F.element_at("cuts", -1) < F.col("least"))
     cuts = cuts.select(F.when(short, F.slice("cuts", 1, F.size("cuts") - 1)).otherwise(F.col("cuts")).alias("cuts"))
     era = F.size(F.filter("cuts", lambda c: c <= F.col("before"))) - 1
-    return placed.crossJoin(F.broadcast(cuts)).select("day", "n", era.cast("long").alias("era"), F.round("threshold", 1).alias("gap_threshold_days"), F.col("least").alias("min_segment_size"))  # one row
+    return placed.crossJoin(F.broadcast(cuts)).select("day", "n", era.cast("long").alias("era"), E.rounded("threshold", 1).alias("gap_threshold_days"), F.col("least").alias("min_segment_size"))  # one row
 
 
 def era_profile(df: DataFrame, eras: DataFrame) -> DataFrame:
     """start, end, span_days, count, rate_per_month and mean_seniority_rank of each era."""
     spans = eras.groupBy("era").agg(F.min("day").alias("start"), F.max("day").alias("end"), F.sum("n").alias("count"))
     span = F.greatest(F.datediff("end", "start"), F.lit(1)).cast("long")
-    ranks = _of_era(df, eras).filter("seniority <> 'unknown'").groupBy("era").agg(F.round(F.avg("seniority_rank"), 2).alias("mean_seniority_rank"))
-    return spans.join(ranks, "era", "left").select("era", "start", "end", span.alias("span_days"), "count", F.round(F.col("count") / (span / F.lit(DAYS_A_MONTH)), 2).alias("rate_per_month"), "mean_seniority_rank")
+    ranks = _of_era(df, eras).filter("seniority <> 'unknown'").groupBy("era").agg(E.rounded(F.avg("seniority_rank"), 2).alias("mean_seniority_rank"))
+    return spans.join(ranks, "era", "left").select("era", "start", "end", span.alias("span_days"), "count", E.rounded(F.col("count") / (span / F.lit(DAYS_A_MONTH)), 2).alias("rate_per_month"), "mean_seniority_rank")
 
 
 def _of_era(df: DataFrame, eras: DataFrame) -> DataFrame:
@@ -152,4 +152,4 @@ def distinctive_terms(df: DataFrame, eras: DataFrame, k: int = 6) -> DataFrame:
     whole = local.agg(F.sum("count").alias("g_total"))
     j = local.filter("count >= 2").join(overall, "term").join(F.broadcast(sizes), "era").crossJoin(F.broadcast(whole))  # a row for each era; one row
     score = F.log(((F.col("count") + 1) / (F.col("l_total") + 2)) / ((F.col("g") + 1) / (F.col("g_total") + 2)))
-    return _ranked(j.withColumn("s", score), k, F.desc("s"), F.desc("term")).select("era", "place", "term", "count", F.round("s", 3).alias("log_odds"))
+    return _ranked(j.withColumn("s", score), k, F.desc("s"), F.desc("term")).select("era", "place", "term", "count", E.rounded("s", 3).alias("log_odds"))

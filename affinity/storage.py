@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark drops a query's shuffle files at its end.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go with the query that made them, and
+#: batches for Python are small, since texts make rows long.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +32,14 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    # the shuffle files behind the table are of no more use once it is there
-    before = spark.conf.get(_CLEANUP, None)
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
     try:
-        spark.conf.set(_CLEANUP, "true")
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
