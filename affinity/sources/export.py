@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from affinity.errors import ParseError
 from affinity.functions.enrich import enrich
+from affinity.storage import ship_package
 
 # Accepted header names (first that is there wins), header search depth, size limit, cp1252's characters for bytes 80-9F.
 COLUMN_ALIASES = {
@@ -104,6 +105,7 @@ def read_export(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> t
     Raises ParseError where the file cannot be used: too large, empty, without a
     header, without name columns, or without any row.
     """
+    ship_package(spark)
     encoding = detect_encoding(spark, path, max_bytes)
     cells = read_cells(spark, path, encoding)
     head = [list(r) for r in cells.limit(HEADER_SCAN).collect()]
