@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from affinity.llm import ann, html_text, impact_topk, lm_score, mixing, near_dedup, packing, quality, token_counts, url_filter
 from affinity.llm.common import table
+from affinity.storage import ship_package
 
 #: Tokens a document may have before op8 marks it.
 TOKEN_LIMIT = 4096
@@ -107,6 +108,16 @@ _OP7_SQL = """
 """
 
 
+def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, run after executors have this package."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 #: All pairs that share a shingle, and all that can be reached; for small tables.
 _OP10_SQL = r"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -133,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_near_dedup": op10_near_dedup,
 }
+QUERIES = {name: _with_package(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

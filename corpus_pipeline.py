@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from affinity.llm import mixing, near_dedup, packing, quality
 from affinity.llm.common import table, written
 from affinity.llm.queries import LANGUAGES, QUALITY_LEAST, labelled_languages, quality_held_out
+from affinity.storage import ship_package
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents table, each to what the one before it kept."""
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
