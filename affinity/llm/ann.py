@@ -4,9 +4,11 @@ Vectors are dealt to posting lists of about the same length, each around a
 centroid.  A vector near the boundary of several lists is copied to all of them
 (but to one of several whose centroids are much alike).
 Centroids are few enough to be held in memory, where a neighbourhood graph finds
-those near a vector.  A query reads the lists whose centroids are at most a
-given ratio farther than its nearest one, and a few more where these are fewer
-(within tight clusters ratios say little), and compares whole vectors there.
+those near a vector that is dealt out.  A query ranks all of them.  It reads the
+lists whose centroids are at most a given ratio farther than its nearest one, and
+in any case a number of the nearest, and compares whole vectors there.  How many
+are needed depends on the data: each run compares some of its queries with every
+vector and takes the least number that meets the recall wanted on them.
 
 The centroids are fitted on at most ``SAMPLE`` vectors; every vector is indexed.
 Equal vectors are indexed once and handed out by id.  Lists are cut into blocks
@@ -35,8 +37,10 @@ SAMPLE, MAX_LISTS, LIST = 20_000, 4_096, 256
 #: Lists that a vector near boundaries is copied to, how much farther than the nearest they may be, and the
 #: share of its distance from a list within which two of its centroids count as one.
 COPIES, NEAR, ALIKE = 4, 1.10, 0.25
-#: Lists that a query reads at most and at least, and how much farther than the nearest the others may be.
-PROBES, LEAST, RATIO = 512, 12, 1.12
+#: Lists that a query reads at least, and how much farther than the nearest the others may be.
+LEAST, RATIO = 12, 1.12
+#: Queries of a run that are compared with every vector, and the recall wanted on them.
+TRIED, RECALL = 128, 0.95
 #: Neighbours of a centroid in the graph, and centroids held while a vector is dealt out.
 DEGREE, BEAM = 24, 16
 #: Most vectors and queries in one task's comparison.
@@ -133,10 +137,58 @@ def copies(graph: CentroidGraph, x: np.ndarray) -> list[list[int]]:
     return out
 
 
-def probes(graph: CentroidGraph, x: np.ndarray) -> list[list[int]]:
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distance of each row of x from each of y."""
+    return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1), 0))
+
+
+def probes(graph: CentroidGraph, x: np.ndarray, least: int = LEAST) -> list[list[int]]:
     """The lists that each row of x, a query, reads."""
-    ids, dist = graph.search(x, PROBES)
-    return [[int(j) for k, (j, dj) in enumerate(zip(near[:PROBES], d[:PROBES])) if j >= 0 and (k < LEAST or dj <= RATIO * d[0])] for near, d in zip(ids, dist)]
+    dist = _apart(x, graph.centroids)
+    order = np.argsort(dist, axis=1, kind="stable")
+    dist = np.take_along_axis(dist, order, axis=1)
+    read = (np.arange(dist.shape[1]) < least) | (dist <= RATIO * dist[:, :1])
+    return [near[r].tolist() for near, r in zip(order, read)]
+
+
+def calibrated(unique: DataFrame, asking: DataFrame, graph: CentroidGraph, k: int) -> int:
+    """The nearest lists that a query must read so that ``RECALL`` of the k nearest classes are met.
+
+    asking: the classes (rep, v) of queries, of which ``TRIED`` are compared with every class.
+    """
+    tried = asking.orderBy(F.xxhash64("rep"), "rep").limit(TRIED).toPandas()
+    if not len(tried):
+        return LEAST
+    own, x = tried["rep"].to_numpy(), np.array(tried["v"].tolist(), np.float64)
+    shared = unique.sparkSession.sparkContext.broadcast((own, x))  # at most TRIED rows
+
+    def parts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, x = shared.value
+        reps, best = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+        for pdf in it:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                ids = part["rep"].to_numpy()
+                d = _apart(x, np.array(part["v"].tolist(), np.float64))
+                d[own[:, None] == ids] = np.inf
+                best, reps = np.hstack([best, d]), np.hstack([reps, np.tile(ids, (len(own), 1))])
+                order = np.argsort(best, axis=1, kind="stable")[:, :k]
+                best, reps = np.take_along_axis(best, order, axis=1), np.take_along_axis(reps, order, axis=1)
+        q, keep = np.repeat(own, best.shape[1]), np.isfinite(best.ravel())
+        yield pd.DataFrame({"q": q[keep], "rep": reps.ravel()[keep], "score": best.ravel()[keep]})
+
+    found = vectors.best_classes(unique.mapInPandas(parts, "q long, rep long, score double"), k, nearest=True)
+    near = unique.join(F.broadcast(found.select("q", "rep")), "rep").select("q", "v").toPandas()  # at most TRIED * k rows
+    if not len(near):
+        return LEAST
+    dist = _apart(x, graph.centroids)
+    place = np.argsort(np.argsort(dist, axis=1, kind="stable"), axis=1)
+    row = {q: n for n, q in enumerate(own)}
+    needed = []
+    for q, lists in zip(near["q"], copies(graph, np.array(near["v"].tolist(), np.float64))):
+        n = row[q]
+        needed.append(0 if (dist[n, lists] <= RATIO * dist[n].min()).any() else int(place[n, lists].min()) + 1)
+    return max(LEAST, sorted(needed)[int(np.ceil(RECALL * len(needed))) - 1])
 
 
 def fit(unique: DataFrame, lists: int | None = None) -> CentroidGraph:
@@ -174,7 +226,9 @@ def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: s
     graph = graph or fit(unique)
     queries = placed.filter(is_query)
     postings = written(_dealt(unique, graph, copies), "postings")
-    asked = written(_dealt(unique.join(queries.select("rep").distinct(), "rep", "left_semi"), graph, probes), "asked").select("list", F.col("rep").alias("q"), F.col("vec").alias("qvec"))
+    asking = unique.join(queries.select("rep").distinct(), "rep", "left_semi")
+    least = calibrated(unique, asking, graph, k)
+    asked = written(_dealt(asking, graph, lambda g, x: probes(g, x, least)), "asked").select("list", F.col("rep").alias("q"), F.col("vec").alias("qvec"))
 
     # rows of a list and of its queries, at most MAX_LISTS rows, decide into how many blocks they go
     sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))

@@ -56,6 +56,20 @@ def test_many_lists_and_equal_vectors(spark, monkeypatch):
     assert got[450] == [(400 + k, 0.0) for k in range(10)] and got[400][0] == (401, 0.0)
 
 
+def test_recall_where_most_lists_are_pruned(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 8)
+    r = np.random.default_rng(0)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = {}
+    for row in ann.search(vectors(spark, enumerate(x), []).filter("vec_id IS NOT NULL"), F.col("id") % 50 == 0, 10).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    d = np.sqrt(((x[::50, None] - x) ** 2).sum(axis=2))
+    want = {50 * n: {i for i in np.argsort(own)[:11].tolist() if i != 50 * n} for n, own in enumerate(d)}
+    assert set(got) == set(want)
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 10 * len(want)
+
+
 def test_search_cases(spark):
     few = ann.search(vectors(spark, [(0, [1, 0]), (1, [0, 1]), (2, [0, 1])]), F.col("id") % 100 == 0, 10).orderBy("rank").collect()
     assert [(r["vec_id"], r["rank"]) for r in few] == [(1, 1), (2, 2)]
