@@ -17,7 +17,7 @@ the share of label 1 (0.5 without any).  Repeated rows are scored row by row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a fit uses at most, and features that one of them may bring to the driver.
-MAX_LABELLED, MAX_FEATURES = 4_000, 6_000
+#: Labelled rows that a fit uses at most.
+MAX_LABELLED = 4_000
 #: Features: words and word pairs, then shape runs, each in its own half.
 BITS = 18
 KEPT_WORDS = 150_000
@@ -106,6 +106,36 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(runs)).astype(np.int32)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Features as they are, or as one bit for each possible one where that is shorter: 2**BITS bits at most."""
+    if len(x) * 4 < 1 << (BITS - 3):
+        return x.astype(np.int32).tobytes()
+    bits = np.zeros(1 << BITS, np.uint8)
+    bits[x] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _unpacked(row: bytes) -> np.ndarray:
+    if len(row) < 1 << (BITS - 3):
+        return np.frombuffer(row, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8)))
+
+
+class _Each(Sequence):
+    """Arrays that are made when they are read, so that long rows are not held unpacked."""
+
+    def __init__(self, n: int, make: Callable[[int], np.ndarray]):
+        self.n, self.make = n, make
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i >= self.n:
+            raise IndexError(i)
+        return self.make(i)
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # by feature: log-count ratio times fitted weight
@@ -123,14 +153,14 @@ class Model:
         return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
 
 
-def _ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+def _ratios(rows: Iterable[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     counts = [np.full(1 << BITS, alpha), np.full(1 << BITS, alpha)]
     for x, label in zip(rows, y):
         counts[int(label > 0)][x] += 1
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 12, seed: int = 0) -> tuple[np.ndarray, float]:
+def descend(rows: Sequence[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 12, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear hinge-loss model, by dual coordinate descent.
 
     Each step solves the dual for one row: its multiplier stays within 0 and cost.
@@ -172,8 +202,8 @@ def _logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0) -> Model:
-    """labels: 0 or 1.  A fifth of the rows is kept back for the logistic curve."""
+def fit(rows: list[bytes], labels: np.ndarray, c: float = 1.0) -> Model:
+    """rows: packed features.  labels: 0 or 1.  A fifth of the rows is kept back for the logistic curve."""
     size, y = 1 << BITS, np.where(labels > 0, 1.0, -1.0)
     if len(set(y)) < 2:
         share = float((labels > 0).mean()) if len(labels) else 0.5
@@ -182,17 +212,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0) -> Model:
 
     def linear(at: np.ndarray) -> Model:
         own, own_y = [rows[i] for i in at], y[at]
-        r = _ratios(own, own_y)
-        values = [r[x] / max(float(np.sqrt(r[x] @ r[x])), 1e-12) for x in own]
+        features_of = _Each(len(own), lambda i: _unpacked(own[i]))
+        r = _ratios(features_of, own_y)
+
+        def scaled(i: int) -> np.ndarray:
+            v = r[features_of[i]]
+            return v / max(float(np.sqrt(v @ v)), 1e-12)
+
         # both classes weigh the same in all
         cost = np.where(own_y > 0, c * len(own_y) / (2 * max((own_y > 0).sum(), 1)), c * len(own_y) / (2 * max((own_y < 0).sum(), 1)))
-        w, bias = descend(own, values, own_y, cost, size)
+        w, bias = descend(features_of, _Each(len(own), scaled), own_y, cost, size)
         return Model(r * w, r * r, bias, 1.0, 0.0)
 
     back = np.arange(len(rows)) % 5 == 4
     if back.sum() >= 20 and len(set(y[back])) == 2 and len(set(y[~back])) == 2:
         part = linear(np.flatnonzero(~back))
-        slope, shift = _logistic(np.array([part.margin(rows[i]) for i in np.flatnonzero(back)]), y[back])
+        slope, shift = _logistic(np.array([part.margin(_unpacked(rows[i])) for i in np.flatnonzero(back)]), y[back])
     else:
         slope, shift = 2.0, 0.0
     model = linear(np.arange(len(rows)))
@@ -208,17 +243,11 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     def vectors(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for text in pdf["text"]:
-                x = features(text)
-                if len(x) > MAX_FEATURES:  # of very long training texts, the features least in a hash order
-                    x = np.sort(x[np.argsort(x.astype(np.uint64) * _PAIR)[:MAX_FEATURES]])
-                out.append(x.tobytes())
-            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "x": out})
+            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "x": [_packed(features(t)) for t in pdf["text"]]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = texts.mapInPandas(vectors, f"id {kind}, label int, x binary").toPandas().sort_values(["id", "label"], kind="stable")
-    return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["label"].to_numpy())
+    return fit(list(got["x"]), got["label"].to_numpy())
 
 
 def scorer(docs: DataFrame, model: Model, text_col: str = "text") -> Column:

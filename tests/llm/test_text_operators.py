@@ -93,6 +93,15 @@ def test_quality_cases(spark):
     assert docs.limit(0).select(quality.scorer(docs, model).alias("s")).count() == 0
 
 
+def test_long_training_texts_count_whole(spark):
+    long, short = " ".join(f"w{k}" for k in range(20_000)), "BAD!! BAD!! few"
+    docs = spark.createDataFrame([(0, long), (1, short)], "doc_id long, text string")
+    model = quality.learn(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int"))
+    x = np.setdiff1d(quality.features(long), quality.features(short))
+    unseen = np.setdiff1d(np.arange(1 << quality.BITS), np.union1d(x, quality.features(short)))
+    assert len(x) > 10_000 and not np.isin(model.squares[x], model.squares[unseen]).any()
+
+
 def test_descent_separates():
     r = np.random.default_rng(0)
     x = r.normal(size=(60, 5))
