@@ -44,8 +44,9 @@ MARKS = re.compile(
     r"aside|footer|foot|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|comment|comments|disqus|respond|reply|replies|discussion|share|sharing|social|related|"
     r"recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|widget|complementary|contentinfo|search|form|feedback|paywall|legal|copyright)(?![a-z])"
 )
-#: Articles within an article that are reader comments.
+#: Articles within an article that are reader comments, and any elements that are.
 COMMENTS = re.compile(r"(?<![a-z])(?:comment|comments|reply|replies|respond)(?![a-z])")
+THREADS = re.compile(r"(?<![a-z])(?:comment|comments|disqus|respond|reply|replies|discussion)(?![a-z])")
 #: Pass 1: share of a block's characters in links above which it is no text; stop-word shares; lengths.
 LINKS, STOPS_LOW, STOPS_HIGH, SHORT, LONG = 0.4, 0.10, 0.18, 70, 180
 
@@ -58,30 +59,42 @@ _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "t
 
 
 class _Block:
-    __slots__ = ("text", "linked", "aside", "article", "heading")
+    __slots__ = ("text", "linked", "aside", "marks", "within", "heading")
 
-    def __init__(self, text: str, linked: int, aside: bool, article: bool, heading: bool):
-        self.text, self.linked, self.aside, self.article, self.heading = text, linked, aside, article, heading
+    def __init__(self, text: str, linked: int, aside: bool, marks: tuple, within: tuple, heading: bool):
+        self.text, self.linked, self.aside, self.marks, self.within, self.heading = text, linked, aside, marks, within, heading
 
+    @property
+    def article(self) -> bool:
+        return bool(self.within)
 
-def _around(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is part of what stands around the main text."""
+
+def _around(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is part of what stands around the main text, and whether it is so only where it does not hold the article."""
     if name in ASIDE or name == "header" and not in_article:
-        return True
+        return True, False
     if name in ("body", "html", "main") or not attributes:
-        return False
+        return False, False
     said = " ".join(a or b or c for a, b, c in _ATTR.findall(attributes))
-    marks = COMMENTS if name == "article" else MARKS
-    return bool(said and marks.search(_CAMEL.sub("-", said).lower().replace("_", "-")))
+    said = _CAMEL.sub("-", said).lower().replace("_", "-")
+    if name == "article":
+        return bool(COMMENTS.search(said)), False
+    if not MARKS.search(said):
+        return False, False
+    thread = bool(THREADS.search(said))
+    return thread, not thread
 
 
 def blocks(page: str) -> list[_Block]:
     """The blocks of a page in order, with their text in one line."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, aside, article
+    # name, hidden, aside, places of the marked elements around, and of the articles around with the number of marks outside each
+    stack: list[tuple[str, bool, bool, tuple, tuple]] = []
     parts: list[str] = []
     linked, links = 0, 0
-    hidden = aside = article = heading = False
+    hidden = aside = heading = False
+    marks: tuple[int, ...] = ()
+    within: tuple[tuple[int, int], ...] = ()
     at, end = 0, len(page)
 
     def close() -> None:
@@ -89,7 +102,7 @@ def blocks(page: str) -> list[_Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(_Block(text, linked, aside, article, heading))
+                out.append(_Block(text, linked, aside, marks, within, heading))
             parts.clear()
         linked = 0
 
@@ -123,8 +136,9 @@ def blocks(page: str) -> list[_Block]:
                         break
                     if stack[k][0] in BLOCKS:
                         break
-            in_article = article or name in ("article", "main")
-            stack.append((name, hidden or name in HIDDEN, aside or _around(name, attributes, article), in_article))
+            out_of_it, marked = _around(name, attributes, bool(within))
+            own = ((m.start(), len(marks)),) if name in ("article", "main") else ()
+            stack.append((name, hidden or name in HIDDEN, aside or out_of_it, (*marks, m.start()) if marked else marks, within + own))
             if name in _RAW:  # only its own end tag ends it
                 stop = _RAW[name].search(page, at)
                 raw_end = stop.start() if stop else end
@@ -138,7 +152,7 @@ def blocks(page: str) -> list[_Block]:
                 if stack[k][0] == name:
                     del stack[k : len(stack) if name in BLOCKS or name in HIDDEN else k + 1]
                     break
-        _, hidden, aside, article = stack[-1] if stack else ("", False, False, False)
+        _, hidden, aside, marks, within = stack[-1] if stack else ("", False, False, (), ())
         links = sum(1 for s in stack if s[0] == "a")
         heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack)
     close()
@@ -191,13 +205,28 @@ def second_pass(labels: list[bool | None], lenient: list[bool], edge: bool | Non
     return final
 
 
+def _around_article(found: list[_Block]) -> set[int]:
+    """The marked elements around the article (or main) that has the longest text besides what is marked in it."""
+    sizes: dict[int, int] = {}
+    outside: dict[int, tuple] = {}
+    for b in found:
+        for place, n in b.within:
+            if len(b.marks) == n:
+                sizes[place] = sizes.get(place, 0) + len(b.text)
+                outside[place] = b.marks
+    return set(outside[max(sizes, key=lambda place: (sizes[place], -place))]) if sizes else set()
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its good blocks, joined by line ends.
 
     Where the page marks its article, only blocks of it count, and what stands
-    before or after it does not vote on its short blocks.
+    before or after it does not vote on its short blocks.  The class or id of an
+    element that holds the article says nothing.
     """
     found = [b for b in blocks(page) if not b.aside] if page else []
+    free = _around_article(found)
+    found = [b for b in found if free.issuperset(b.marks)]
     marked = any(b.article for b in found)
     if marked:
         found = [b for b in found if b.article]

@@ -131,6 +131,15 @@ def test_main_text(tags):
     assert html_text.main_text(PAGE.format(open=tags[0], close=tags[1])).split("\n") == WANT
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("around", ['<div class="has-sidebar">', '<div id="page" class="menu-open">', '<div class="has-sidebar"><main><div id="search-page">'])
+def test_marks_of_what_holds_the_article(tag, around):
+    card = '<div class="related"><article><p>More of the texts that are on the site and that you may want to read in the time to come.</p></article></div>'
+    page = PAGE.format(open=f"{around}{card}<{tag}>", close=f"</{tag}>{card}").replace("</body>", "</div></body>")
+    assert html_text.main_text(page).split("\n") == WANT
+    assert html_text.main_text(f'<div class="comments"><{tag}><p>I think that this is the best of the texts that I have read on it, and it was good.</p></{tag}></div>') == ""
+
+
 def test_second_pass():
     assert html_text.second_pass([True, None, True, None, None, False], [False] * 6, False) == [True, True, True, True, False, False]
     assert html_text.second_pass([None, None], [True, False], None) == [True, False]
