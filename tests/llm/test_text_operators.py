@@ -140,6 +140,62 @@ def test_marks_of_what_holds_the_article(tag, around):
     assert html_text.main_text(f'<div class="comments"><{tag}><p>I think that this is the best of the texts that I have read on it, and it was good.</p></{tag}></div>') == ""
 
 
+LONG = "<p>This is the first of the paragraphs of the article and it is long enough to tell that it is text, as it has many of the words that are in all texts.</p>"
+KEPT = [
+    "<p>© 2020 is what the first of the notes said to all who had read it.</p>",
+    '<p><a href="/x">The whole report on it is here</a></p>',
+    '<div class="form-factor">The form factor of the device is small and it is light.</div>',
+    "<figure><figcaption>A view of the sea</figcaption></figure>",
+    '<section id="search-engines"><p>Engines for search are the next of the themes.</p></section>',
+]
+DROPPED = [
+    '<div class="ad">Buy the best of the shoes now.</div>',
+    '<ul class="share"><li><a href=x>Tweet</a></li></ul>',
+    '<ul><li><a href=1>One more link</a></li><li><a href=2>Two more links</a></li></ul>',
+    '<div id="comments"><p>I think that it is the best of the texts that I have read.</p></div>',
+    '<section class="search"><p>Suchbegriff eingeben</p></section>',
+]
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("block", KEPT + DROPPED)
+def test_blocks_within(block, tag):
+    text = html_text.main_text(f"<nav><a>Home</a></nav><{tag}>{LONG}{block}{LONG}</{tag}><footer>x</footer>")
+    assert text.count("\n") == 1 + (block in KEPT)
+
+
+def test_first_pass_decides_within_articles():
+    found = html_text.blocks("<article><p>Short.</p>" + LONG + "<ul><li><a>One</a> <a>Two</a></li></ul></article>")
+    assert [html_text.first_pass(b) for b in found] == [None, True, False]
+
+
+@pytest.mark.parametrize("part", ["<b>x", "<div>x", '<div class="ad">x', "<article>x", "<h1>x", "<a '", "<i><b>x</i>"])
+def test_time_is_linear(part):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(part * (300_000 // len(part)))
+    html_text.main_text("<div>" + "<b>" * 50_000 + "<p>x</p>" * 20_000)
+    assert time.process_time() - began < 8
+
+
+def test_pages_without_their_article_tag(spark):
+    from affinity.llm.common import table
+
+    for r in table(spark, SMALL, "pages").collect():
+        plain = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.main_text(plain) == html_text.main_text(r["html"])
+
+
+BIG = [2**53 + 1, None, 2**53 + 3]
+
+
+def test_large_ids_beside_a_missing_one(spark):
+    df = spark.createDataFrame([(i, "u", "<p>x y z</p>", "x y z") for i in BIG], "page_id long, url string, html string, text string").coalesce(1)
+    assert {r["page_id"] for r in html_text.extract(df).collect()} == set(BIG)
+    assert {r["page_id"] for r in token_counts.count_tokens(df, {"x": 1.0}, 5, id_col="page_id").collect()} == set(BIG)
+
+
 def test_second_pass():
     assert html_text.second_pass([True, None, True, None, None, False], [False] * 6, False) == [True, True, True, True, False, False]
     assert html_text.second_pass([None, None], [True, False], None) == [True, False]
