@@ -4,18 +4,20 @@ Vectors are dealt to posting lists of about the same length, each around a
 centroid.  A vector near the boundary of several lists is copied to all of them
 (but to one of several whose centroids are much alike).
 Centroids are few enough to be held in memory, where a neighbourhood graph finds
-those near a vector that is dealt out.  A query ranks all of them.  It reads the
-lists whose centroids are at most a given ratio farther than its nearest one, and
-in any case a number of the nearest, and compares whole vectors there.  How many
-are needed depends on the data: each run compares some of its queries with every
-vector and takes the least number that meets the recall wanted on them.
+those near a vector.  A query reads the lists whose centroids are at most a given
+ratio farther than its nearest one, and in any case a number of the nearest, and
+compares whole vectors there.  How many are needed depends on the data: each run
+compares some of its queries with every vector and takes the least number that
+meets the recall wanted on them.  Where that, or the ratio, asks for more lists
+than the graph's search holds, the query ranks all centroids instead.
 
 The centroids are fitted on at most ``SAMPLE`` vectors; every vector is indexed.
-Equal vectors are indexed once and handed out by id.  Lists are cut into blocks
+Lists grow in number with the vectors up to ``MAX_LISTS`` and in length beyond.
+Equal vectors are indexed once and handed out by row.  Lists are cut into blocks
 and queries of a list likewise, so no group grows with the data.
 
 Cases: see ``vectors.usable`` for the rows that take no part; queries among them
-get no result.  Ties go to the smaller id.  Fewer candidates than asked for are
+get no result.  Rows that repeat an id are candidates each.  Ties go to the smaller id.  Fewer candidates than asked for are
 all returned.
 """
 
@@ -30,19 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm import vectors
-from affinity.llm.common import written
+from affinity.llm.common import forget, written
 
 #: Vectors on which centroids are fitted, centroids at most, and vectors to a list aimed at.
-SAMPLE, MAX_LISTS, LIST = 20_000, 4_096, 256
+SAMPLE, MAX_LISTS, LIST = 65_536, 16_384, 128
 #: Lists that a vector near boundaries is copied to, how much farther than the nearest they may be, and the
 #: share of its distance from a list within which two of its centroids count as one.
 COPIES, NEAR, ALIKE = 4, 1.10, 0.25
 #: Lists that a query reads at least, and how much farther than the nearest the others may be.
-LEAST, RATIO = 12, 1.12
+LEAST, RATIO = 4, 1.12
 #: Queries of a run that are compared with every vector, and the recall wanted on them.
 TRIED, RECALL = 128, 0.95
-#: Neighbours of a centroid in the graph, and centroids held while a vector is dealt out.
-DEGREE, BEAM = 24, 16
+#: Neighbours of a centroid in the graph, and centroids held while a vector is dealt out and while a query is.
+DEGREE, BEAM, QUERY_BEAM = 24, 16, 48
 #: Most vectors and queries in one task's comparison.
 BLOCK, QUERY_BLOCK = 4_096, 1_024
 
@@ -144,11 +146,22 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def probes(graph: CentroidGraph, x: np.ndarray, least: int = LEAST) -> list[list[int]]:
     """The lists that each row of x, a query, reads."""
-    dist = _apart(x, graph.centroids)
-    order = np.argsort(dist, axis=1, kind="stable")
-    dist = np.take_along_axis(dist, order, axis=1)
-    read = (np.arange(dist.shape[1]) < least) | (dist <= RATIO * dist[:, :1])
-    return [near[r].tolist() for near, r in zip(order, read)]
+    out: list[list[int]] = [[]] * len(x)
+    todo = np.arange(len(x))
+    if least < QUERY_BEAM < len(graph.centroids):
+        ids, dist = graph.search(x, QUERY_BEAM)
+        read = (ids >= 0) & ((np.arange(ids.shape[1]) < least) | (dist <= RATIO * dist[:, :1]))
+        for i in np.flatnonzero(~read[:, -1]):
+            out[i] = ids[i, read[i]].tolist()
+        todo = np.flatnonzero(read[:, -1])  # more may be as near as the last one held
+    if len(todo):
+        dist = _apart(x[todo], graph.centroids)
+        order = np.argsort(dist, axis=1, kind="stable")
+        dist = np.take_along_axis(dist, order, axis=1)
+        read = (np.arange(dist.shape[1]) < least) | (dist <= RATIO * dist[:, :1])
+        for i, near, r in zip(todo, order, read):
+            out[i] = near[r].tolist()
+    return out
 
 
 def calibrated(unique: DataFrame, asking: DataFrame, graph: CentroidGraph, k: int) -> int:
@@ -217,18 +230,15 @@ def _dealt(rows: DataFrame, graph: CentroidGraph, deal) -> DataFrame:
     return rows.mapInPandas(parts, "list int, rep long, vec binary")
 
 
-def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: str = "embedding", graph: CentroidGraph | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query row.
-
-    is_query: a condition on ``id``.  score: Euclidean distance.
-    """
-    placed, unique = vectors.classes(vectors.usable(rows, id_col, vec_col, zero=False))
-    graph = graph or fit(unique)
+def _search(use: DataFrame, is_query, k: int) -> DataFrame:
+    """The search among vectors of one length."""
+    placed, unique = vectors.classes(use)
+    graph = fit(unique)
     queries = placed.filter(is_query)
     postings = written(_dealt(unique, graph, copies), "postings")
     asking = unique.join(queries.select("rep").distinct(), "rep", "left_semi")
     least = calibrated(unique, asking, graph, k)
-    asked = written(_dealt(asking, graph, lambda g, x: probes(g, x, least)), "asked").select("list", F.col("rep").alias("q"), F.col("vec").alias("qvec"))
+    asked = written(_dealt(asking, graph, lambda g, x: probes(g, x, least)).select("list", F.col("rep").alias("q"), F.col("vec").alias("qvec")), "asked")
 
     # rows of a list and of its queries, at most MAX_LISTS rows, decide into how many blocks they go
     sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
@@ -250,4 +260,16 @@ def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: s
     keys = ["list", "b", "c"]
     found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(compare, "q long, rep long, score double")
     found = written(vectors.best_classes(found, k + 1, nearest=True), "found")
-    return vectors.by_row(placed, queries, found, k, nearest=True)
+    out = written(vectors.by_row(placed, queries, found, k, nearest=True), "nearest")
+    for t in (placed, unique, postings, asked, found):
+        forget(t)
+    return out
+
+
+def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows found for each query row.
+
+    is_query: a condition on ``id``.  score: Euclidean distance.
+    """
+    found = [_search(use, is_query, k) for use in vectors.usable(rows, id_col, vec_col, zero=False).values()]
+    return vectors.together(found, k, nearest=True) if found else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

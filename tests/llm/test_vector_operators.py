@@ -103,10 +103,60 @@ def test_exact_against_plain_products(spark, monkeypatch, block):
 def test_stops_only_on_proof():
     r = np.random.default_rng(3)
     x = r.integers(-40, 40, (3000, 16))
-    index = impact_topk.ImpactIndex(x)
+    index = impact_topk.ImpactIndex.load(impact_topk.ImpactIndex.dump(x))
     for q in r.integers(-40, 40, (30, 16)):
         scores = x @ q
         want = sorted(scores, reverse=True)[:6]
         at, got = index.top(q, 6, float("-inf"), np.arange(3000))
         assert got.tolist() == want and (scores[at] == got).all()
         assert index.top(q, 6, float(want[2]), np.arange(3000))[1].tolist() == [s for s in want if s >= want[2]]
+
+
+def test_few_segments_are_enough_where_impacts_differ():
+    """One component decides: its postings come first and the rest is never read."""
+    r = np.random.default_rng(4)
+    x = r.integers(-3, 4, (4000, 12))
+    x[:, 0] = r.integers(0, 4000, 4000)
+    index, q = impact_topk.ImpactIndex.of(x), np.ones(12, np.int64)
+    read = []
+    exact = index._exact
+    index._exact = lambda at, *rest: read.append(len(at)) or exact(at, *rest)
+    at, got = index.top(q, 5, float("-inf"), np.arange(4000))
+    assert got.tolist() == sorted(x @ q, reverse=True)[:5] and read[0] <= impact_topk.EXACT
+
+
+def test_vectors_of_several_lengths_and_repeated_rows(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, r.normal(size=3 + k % 2).round(2).tolist()) for k in range(60)] + [(7, r.normal(size=3).tolist()), (9, [1.0, 1.0, 1.0, 1.0]), (9, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for search, best, score in ((ann.search, 1, lambda a, b: float(np.linalg.norm(np.array(a) - b))), (impact_topk.search, -1, lambda a, b: int(np.floor(256 * np.array(a)) @ np.floor(256 * np.array(b))))):
+        got = {}
+        for x in search(df, F.col("id") % 10 == 0, 12).orderBy("rank").collect():
+            got.setdefault(x["query_id"], []).append((x["vec_id"], pytest.approx(x["score"])))
+        assert set(got) == {0, 10, 20, 30, 40, 50}
+        for q, own in got.items():
+            a = rows[q][1]
+            want = sorted((best * score(a, b), i) for i, b in rows if i != q and len(b) == len(a))[:12]
+            assert own == [(i, best * s) for s, i in want]
+
+
+def test_most_lists_are_pruned_on_clusters(spark, monkeypatch):
+    """Over 300 lists: recall against brute force with a small part of the vectors read."""
+    monkeypatch.setattr(ann, "LIST", 16)
+    r = np.random.default_rng(0)
+    centres = r.normal(size=(80, 24))
+    x = np.repeat(centres, 75, axis=0) + r.normal(size=(6000, 24)) * 0.25
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    read = {}
+    plain = ann._dealt
+    monkeypatch.setattr(ann, "_dealt", lambda rows, graph, deal: read.setdefault("graph", graph) and read.setdefault("deals", []).append(deal) or plain(rows, graph, deal))
+    got = {}
+    for row in ann.search(df, F.col("id") % 100 == 0, 10).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    d = np.linalg.norm(x[::100, None] - x, axis=2)
+    want = {100 * n: {i for i in np.argsort(own)[:11].tolist() if i != 100 * n} for n, own in enumerate(d)}
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 10 * len(want)
+    graph, (_, ask) = read["graph"], read["deals"]
+    lists = [set(l) for l in ann.copies(graph, x)]
+    share = np.mean([np.mean([bool(own & set(asked)) for own in lists]) for asked in ask(graph, x[::100])])
+    assert len(graph.centroids) >= 300 and share < 0.25
