@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from affinity.llm import components, lm_score, mixing, near_dedup, packing, queries
+from affinity.llm import components, lm_score, mixing, near_dedup, ngram_trie, packing, queries
 from affinity.llm.common import table
 from affinity.llm.elias_fano import EliasFano
 from tests.conftest import SMALL
@@ -191,46 +191,76 @@ def test_elias_fano(n, top):
     asked = np.concatenate([v[:: max(1, len(v) // 50)], np.array([0, 1, 5, top - 1, top + 10], np.uint64)])
     want = [int(np.searchsorted(v, x)) if x in set(v.tolist()) else -1 for x in asked.tolist()]
     assert e.find(asked).tolist() == want
-    if len(v):
-        assert e._find(asked).tolist() == want  # without decoding
-
-
-def plain_scores(texts, held_out):
+    places = np.arange(0, len(v), max(1, len(v) // 70))
+    assert (e.at(places) == v[places]).all()
+
+
+def test_search_decodes_no_level(monkeypatch):
+    monkeypatch.delattr(EliasFano, "decode")
+    r = np.random.default_rng(7)
+    words, before, follower = (r.integers(1, 60, 4000).astype(np.uint64) for _ in range(3))
+    of, n, lower = np.arange(4000), r.integers(0, 3, 4000).astype(float), ngram_trie.quantised(follower / 100.0)
+    count = {}
+    for v, u, c in zip(words.tolist(), before.tolist(), n.tolist()):
+        count[v, u] = count.get((v, u), 0) + c
+    total = np.array([count[v, u] for v, u in zip(words.tolist(), before.tolist())])
+    trie = ngram_trie.Trie.mapped(ngram_trie.Trie.build(words, before, total, total > 4, of, follower, n, lower).dump())
+    got = ngram_trie.value(trie.lookup(words, before, of, follower, lower))
+    c3, types = collections.Counter(), collections.defaultdict(set)
+    for v, u, w, c in zip(words.tolist(), before.tolist(), follower.tolist(), n.tolist()):
+        if c:
+            c3[v, u, w] += c
+            types[v, u].add(w)
+    for k, (v, u, w) in enumerate(zip(words.tolist(), before.tolist(), follower.tolist())):
+        c, p2 = count[v, u], w / 100
+        want = (c3[v, u, w] + 0.9 * p2) / (c + 0.9) if c > 4 else min((max(c3[v, u, w] - 0.9, 0) + 0.9 * len(types[v, u]) * p2) / max(c, 1), 1) if c else 0
+        assert got[k] == pytest.approx(want, rel=0.003) if c else True
+
+
+def plain_scores(texts, held_out, shard_tokens):
     toks = {i: (x or "").encode().lower().split() + [b""] for i, x in texts.items()}
     c = [collections.Counter() for _ in range(3)]
     for i, w in toks.items():
         if not held_out(i):
-            x = [b"", *w]
+            x = [b"", b"", *w]
             c[0].update(w)
-            c[1].update(zip(x, x[1:]))
+            c[1].update(zip(x[1:], x[2:]))
             c[2].update(zip(x, x[1:], x[2:]))
-    of = [collections.Counter(), collections.Counter()]
+    of, types = [collections.Counter(), collections.Counter()], collections.Counter()
     for k in (0, 1):
         for g, n in c[k + 1].items():
             of[k][g[:-1]] += n
-    whole = sum(c[0].values()) + len(c[0]) + 1
+    for g in c[2]:
+        types[g[:-1]] += 1
+    n = sum(c[0].values())
+    shards = max(8, -(-sum(map(len, toks.values())) // shard_tokens))
     out = {}
     for i, w in toks.items():
-        x, base, score = [None, b"", *w], 0.0, 0.0
+        x, base, score = [b"", b"", *w], 0.0, 0.0
         for k in range(2, len(x)):
-            p = (c[0][x[k]] + 1) / whole
+            p = (c[0][x[k]] + 1) / (n + len(c[0]) + 1)
             base += math.log10(p)
-            for level, weight in ((0, 6), (1, 3)):
-                g = tuple(x[k - 1 - level : k])
-                if n := of[level][g]:
-                    d = weight * n**0.85
-                    p = (c[level + 1][(*g, x[k])] + d * p) / (n + d)
+            if total := of[0][x[k - 1],]:
+                m = 6 * total**0.85
+                p = (c[1][x[k - 1], x[k]] + m * p) / (total + m)
+            g = (x[k - 2], x[k - 1])
+            if total := of[1][g]:
+                if 4 * shards * total / n > 1:  # its followers are dealt to several shards
+                    p = (c[2][*g, x[k]] + 0.9 * p) / (total + 0.9)
+                else:
+                    p = (max(c[2][*g, x[k]] - 0.9, 0) + 0.9 * types[g] * p) / total
             score += math.log10(p)
         out[i] = (len(w), sum(c[0][y] > 0 for y in w), base, score)
-    return out, sum(c[0].values())
+    return out, n
 
 
 @pytest.mark.parametrize("size", [lm_score.BLOCK_TOKENS, 3000])
 def test_scores_against_plain_counts(spark, monkeypatch, size):
     monkeypatch.setattr(lm_score, "BLOCK_TOKENS", size)
     monkeypatch.setattr(lm_score, "SHARD_TOKENS", size)
+    monkeypatch.setattr(lm_score, "TASK_TOKENS", 10 * size)
     texts = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
-    want, n = plain_scores(texts, lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
+    want, n = plain_scores(texts, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, size)
     got = queries.op9_lm_score(spark, SMALL).collect()
     assert len(got) == len(texts)
     for r in got:
