@@ -7,3 +7,7 @@ class AffinityError(Exception):
 
 class ParseError(AffinityError):
     """An input that cannot be read as an export at all."""
+
+
+class StorageError(AffinityError):
+    """No folder that driver and executors share."""

@@ -7,9 +7,7 @@ for each estimator table, months, years, and lists with a fixed limit.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import time
-import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,7 @@ from affinity import SCHEMA_VERSION
 from affinity.operators import network, sections, temporal
 from affinity.plans import insights
 from affinity.sources.export import ParseReport, read_export
+from affinity.storage import shared_dir
 
 
 def _plain(value: Any) -> Any:
@@ -184,8 +183,7 @@ def analyze_path(spark: SparkSession, path: str, **how) -> dict:
 
 def analyze_bytes(spark: SparkSession, raw: bytes, **how) -> dict:
     """The same for the contents of a file; they pass through the folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    jvm, path = spark.sparkContext._jvm, f"{base.rstrip('/')}/affinity-{uuid.uuid4().hex}.csv"
+    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}.csv"
     place = jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(place)
