@@ -7,18 +7,21 @@
    pivots of that key, not with one another.  Pairs whose signatures agree often
    enough are confirmed on their full sets, and the links give components.
 4. Where a key still holds several components, the members of different ones
-   are compared by signature and then by full set, block by block.  Pairs within
-   a component cannot change it.  So the components are those of all pairs that
-   share a key, without making all pairs of a group of copies.
+   are compared by signature, block by block, and by full set only where
+   signatures agree.  Pairs within a component cannot change it.  So the
+   components are those of all pairs that share a key, without making all pairs
+   of a group of copies.
 
 With 32 bands of 4 a pair at similarity 0.75 shares no key with probability
 under 1e-5, and its signatures agree too seldom with probability under 1e-6.
 
 Sizes: a shuffle carries keys, ids and signatures of one byte for each minimum;
-full sets are made again from the texts, for the compared classes alone.
+full sets are made again from the texts, for the compared classes alone.  A
+member of a large key is sent to one task for each ``BLOCK`` others, without its
+set.
 
-Cases: texts that are null, empty or white space have an empty set and are
-linked with nothing.  A text of fewer words than the width is one shingle.  Rows
+Cases: ids are whole numbers of any size.  Texts that are null, empty or white
+space have an empty set and are linked with nothing.  A text of fewer words than the width is one shingle.  Rows
 without an id keep component null and are linked with nothing.  Rows that repeat
 an id count as one document: what links to either links to both.
 """
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,18 +45,18 @@ from affinity.llm.shingles import MinHasher, band_keys, shingle_set
 BROADCAST_IDS = 2_000_000
 #: Pivots of a key are its least ids after these bit masks.
 MASKS = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D)
-#: Most members of a key that one task compares at once.
-BLOCK = 512
+#: Members of a key that make one block.
+BLOCK = 1_024
 
 
 def _signed(docs: DataFrame, width: int, hashes: int, rows: int) -> DataFrame:
     """id, n (size of the set), fp (its fingerprint), sig (a byte of each minimum), bands."""
 
-    def sign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(hashes)
-        for pdf in it:
+        for batch in it:
             out = []
-            for text in pdf["text"]:
+            for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width)
                 if len(s):
                     m = hasher.minima(s)
@@ -60,9 +64,10 @@ def _signed(docs: DataFrame, width: int, hashes: int, rows: int) -> DataFrame:
                 else:
                     out.append((0, None, None, None))
             n, fp, sig, bands = zip(*out) if out else ((), (), (), ())
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "fp": fp, "sig": sig, "bands": bands})
+            # ids stay out of pandas, where a missing one would turn them into floats
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "fp", "sig", "bands"])
 
-    return docs.select("id", "text").mapInPandas(sign, "id long, n long, fp binary, sig binary, bands array<long>")
+    return docs.select("id", "text").mapInArrow(sign, "id long, n long, fp binary, sig binary, bands array<long>")
 
 
 def _agreeing(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
@@ -111,23 +116,72 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return links
 
 
-def _across(placed: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, percent: int, least: int) -> DataFrame:
+def _by_group(it: Iterator[pd.DataFrame], keys: list[str], work) -> Iterator[pd.DataFrame]:
+    """What ``work`` makes of each group of rows that come sorted by ``keys``."""
+    held = None
+    for pdf in it:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        at = pdf[keys].to_numpy()
+        bounds = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()]
+        for x, y in zip(bounds, bounds[1:]):
+            yield work(pdf.iloc[x:y])
+        held = pdf.iloc[bounds[-1] :]
+    if held is not None and len(held):
+        yield work(held)
+
+
+class _Meeting:
+    """Two blocks of a key's members, or one with itself: which rows are to be compared.
+
+    code: a row's signature and four bytes of each band key.
+    """
+
+    def __init__(self, g: pd.DataFrame, hashes: int):
+        self.i, self.j = int(g["i"].iat[0]), int(g["j"].iat[0])
+        code = np.frombuffer(b"".join(g["code"]), np.uint8).reshape(len(g), -1)
+        self.sig, self.bands = code[:, :hashes], np.ascontiguousarray(code[:, hashes:]).view(np.uint32)
+        self.band = int(np.flatnonzero(self.bands[0] == np.uint32(int(g["key"].iat[0]) & 0xFFFFFFFF))[0])
+        self.own, self.minor, self.component = g["own"].to_numpy(), g["minor"].to_numpy(), g["component"].to_numpy().copy()
+
+    def partners(self, k: int, least: int) -> np.ndarray:
+        """Rows of other components that row k may be linked with, the likeliest first."""
+        if self.j >= 0:
+            may = ~self.minor
+        else:
+            may = np.arange(len(self.own)) > k if self.i == -1 - self.j else self.own > self.own[k]
+        rest = np.flatnonzero(may & (self.component != self.component[k]))
+        agree = (self.sig[rest] == self.sig[k]).sum(axis=1)
+        rest, agree = rest[agree >= least], agree[agree >= least]
+        # a pair that shares several keys is compared under the first of them
+        here = (self.bands[rest] == self.bands[k]).argmax(axis=1) == self.band if len(rest) else np.zeros(0, bool)
+        return rest[here][np.argsort(-agree[here], kind="stable")]
+
+
+_MEETING = "key long, i int, j int, minor boolean, own int, id long, component long, code binary"
+
+
+def _across(placed: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, percent: int, least: int, hashes: int) -> DataFrame:
     """Links between members of a key that are not in one component.
 
     placed: key, id, component.  The rows of a key's largest component (major) are
     compared with all others (minor), and these among themselves, in pairs of
-    blocks.  Within such a pair, comparing stops for rows that a link found there
-    has brought together, so what comes out are a few links for each component.
-    A pair that shares several keys is compared under the first of them.
+    blocks: first by signature, then, for rows that have a partner, by full set.
+    Within such a pair, comparing sets stops for rows that a link found there has
+    brought together, so what comes out are a few links for each component.
     """
     by_part = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     by_key = by_part.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("parts")).filter("parts > 1 AND size > 2")
     major = by_part.join(by_key, "key").filter("n = most").groupBy("key", "size", "most").agg(F.min("component").alias("major"))
-    open_ = written(placed.join(major, "key"), "open")
-    full = _sets(docs, open_.select("id").distinct(), width)
-    members = open_.join(chosen.select("id", "sig", "bands"), "id").join(full, "id")
+
+    def code(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"id": pdf["id"], "code": [s + np.asarray(b, np.int64).astype(np.uint32).tobytes() for s, b in zip(pdf["sig"], pdf["bands"])]})
+
+    members = placed.join(major, "key").join(chosen.mapInPandas(code, "id long, code binary"), "id")
     minor = F.col("component") != F.col("major")
-    members = members.select("key", "id", "component", "sig", "bands", "set", minor.alias("minor"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("x"), F.ceil(F.col("most") / BLOCK).cast("int").alias("y"))
+    members = members.select("key", "id", "component", "code", minor.alias("minor"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("x"), F.ceil(F.col("most") / BLOCK).cast("int").alias("y"))
     members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("x")).otherwise(F.col("y"))).cast("int"))
     # minor block i meets major block j in (i, j), and minor block j in (i, -1 - j)
     whole = lambda n: F.sequence(F.lit(0), n - 1)
@@ -136,48 +190,33 @@ def _across(placed: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, p
     to_major = F.transform(whole(y), lambda k: F.struct(own.alias("i"), k.alias("j")))
     from_major = F.transform(whole(x), lambda k: F.struct(k.alias("i"), own.alias("j")))
     spread = members.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(to_minor, to_major)).otherwise(from_major)))
-    spread = spread.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "minor", "own", "id", "component", "sig", "bands", "set")
-    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def links(g: pd.DataFrame) -> list[tuple[int, int]]:
-        key, i, j = g["key"].iat[0], g["i"].iat[0], g["j"].iat[0]
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
-        bands = np.array(g["bands"].tolist(), np.int64)
-        band = int(np.flatnonzero(bands[0] == key)[0])
-        ids, sets, own, is_minor = g["id"].to_numpy(), g["set"].tolist(), g["own"].to_numpy(), g["minor"].to_numpy()
-        component = g["component"].to_numpy().copy()
-        out = []
-        for k in np.flatnonzero(is_minor):
-            if j >= 0:
-                may = ~is_minor
-            else:
-                may = np.arange(len(g)) > k if i == -1 - j else own > own[k]
-            rest = np.flatnonzero(may & (component != component[k]))
-            rest = rest[(sig[rest] == sig[k]).sum(axis=1) >= least]
+    spread = spread.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "minor", "own", "id", "component", "code")
+    keys = ["key", "i", "j"]
+
+    def alike(g: pd.DataFrame) -> pd.DataFrame:
+        """The rows that have a partner by their signatures."""
+        m, keep = _Meeting(g, hashes), np.zeros(len(g), bool)
+        for k in np.flatnonzero(m.minor):
+            rest = m.partners(k, least)
             if len(rest):
-                rest = rest[(bands[rest] == bands[k]).argmax(axis=1) == band]
-            # the likeliest first
-            for m in rest[np.argsort(-(sig[rest] == sig[k]).sum(axis=1), kind="stable")]:
-                if component[m] != component[k] and _similar(sets[k], sets[m], percent):
-                    out.append((int(ids[k]), int(ids[m])))
-                    component[component == component[m]] = component[k]
-        return out
+                keep[k] = True
+                keep[rest] = True
+        return g[keep]
 
-    def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in it:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            at = pdf[["key", "i", "j"]].to_numpy()
-            bounds = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()]
-            found = [link for x, y in zip(bounds, bounds[1:]) for link in links(pdf.iloc[x:y])]
-            held = pdf.iloc[bounds[-1] :]
-            yield pd.DataFrame(found, columns=["a", "b"])
-        if held is not None and len(held):
-            yield pd.DataFrame(links(held), columns=["a", "b"])
-
-    found = written(spread.mapInPandas(compare, "a long, b long").distinct(), "links")
+    open_ = written(spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda it: _by_group(it, keys, alike), _MEETING), "open")
+    full = _sets(docs, open_.select("id").distinct(), width)
+
+    def links(g: pd.DataFrame) -> pd.DataFrame:
+        m, ids, sets, out = _Meeting(g, hashes), g["id"].to_numpy(), g["set"].tolist(), []
+        for k in np.flatnonzero(m.minor):
+            for other in m.partners(k, least):
+                if m.component[other] != m.component[k] and _similar(sets[k], sets[other], percent):
+                    out.append((int(ids[k]), int(ids[other])))
+                    m.component[m.component == m.component[other]] = m.component[k]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    with_sets = open_.join(full, "id").repartition(*keys).sortWithinPartitions(*keys)
+    found = written(with_sets.mapInPandas(lambda it: _by_group(it, keys, links), "a long, b long").distinct(), "links")
     forget(open_)
     forget(full)
     return found
@@ -217,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = members.select("key", "id").join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = written(placed, "placed")
-    more = _across(placed, chosen, docs, width, percent, least)
+    more = _across(placed, chosen, docs, width, percent, least, hashes)
 
     components = connected_components(links.unionByName(more).unionByName(tied))
 
@@ -230,7 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(none, F.col("id")).otherwise(F.col("class")).alias("class_id"),
         F.when(none, F.col("id")).otherwise(F.col("component")).alias("component_id"),
     )
-    for t in (members, placed, first):
+    result = written(result, "components")
+    for t in (members, placed, first, signed, classes, chosen, links, more):
         forget(t)
     return result
 

@@ -13,7 +13,7 @@ Documents are dealt to groups by a hash, so that copies of one go to different s
 Cases: every document has one token more than its text, its end, so null and
 empty texts are packed too.  Texts longer than the largest permitted length are
 cut into pieces of that length and a rest; nothing is dropped.  Rows that repeat
-an id are packed each by itself.  Ties go to the bin opened first.  An empty
+an id are packed each by itself; ids of any size and null ids pass through.  Ties go to the bin opened first.  An empty
 table gives an empty result.
 """
 
@@ -23,7 +23,8 @@ import bisect
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,10 +107,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("id", "row", "piece"), F.lit(groups)))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "row", "piece"], ascending=[False, True, True, True], kind="stable")
-        bins, places, lengths = best_packing(pdf["length"].tolist(), permitted, cost)
-        return pd.DataFrame({"id": pdf["id"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin": pdf["group"].to_numpy(np.int64) * 2**32 + bins, "place": places, "capacity": lengths[bins].astype(np.int32)})
+    def packed(group: pa.Table) -> pa.Table:
+        # ids stay out of pandas, where a missing one would turn them into floats
+        group = group.take(pc.sort_indices(group, [("length", "descending"), ("id", "ascending"), ("row", "ascending"), ("piece", "ascending")]))
+        bins, places, lengths = best_packing(group["length"].to_pylist(), permitted, cost)
+        base = group["group"][0].as_py() << 32
+        return group.select(["id", "piece", "start", "length"]).append_column("bin", pa.array(base + bins, pa.int64())).append_column("place", pa.array(places, pa.int64())).append_column("capacity", pa.array(lengths[bins], pa.int32()))
 
-    out = pieces.groupBy("group").applyInPandas(packed, f"id {kind}, piece int, start long, length long, bin long, place long, capacity int")
+    out = pieces.groupBy("group").applyInArrow(packed, f"id {kind}, piece int, start long, length long, bin long, place long, capacity int")
     return out.withColumnRenamed("id", id_col)

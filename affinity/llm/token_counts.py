@@ -16,7 +16,8 @@ characters, so texts are cut there, and the tables of common pieces are kept.
 
 Cases: a null or empty text has no tokens and an empty table.  Texts of any
 length are handled whole, in time proportional to their length.  Repeated rows
-are counted row by row; an empty table gives an empty result.  Characters
+are counted row by row, with their ids of any size or none; an empty table
+gives an empty result.  Characters
 outside the vocabulary count one token for each UTF-8 byte.
 """
 
@@ -26,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,23 +211,23 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float], budget: int, id_col:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     key = shared.id if hasattr(shared, "id") else id(shared)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _COUNTERS.get(key)
         if counter is None:
             _COUNTERS.clear()
             counter = _COUNTERS[key] = PrefixCounter(shared.value)
-        for pdf in it:
+        for batch in it:
             n_tokens, fits, kept = [], [], []
-            for text in pdf["text"]:
-                t = counter.table(text)
+            for text in batch.column("text"):  # one at a time: a batch's texts are long
+                t = counter.table(text.as_py())
                 total = int(t.sum(dtype=np.int64))
                 n_tokens.append(total)
                 fits.append(longest_within(t, budget) if total > budget else len(t))
                 if tables:
                     kept.append(t.tobytes())
-            out = {"id": pdf["id"], "n_bytes": pdf["n_bytes"], "n_tokens": n_tokens, "fits_chars": fits}
-            yield pd.DataFrame(out | ({"prefix_table": kept} if tables else {}))
+            found = [batch.column("id"), batch.column("n_bytes"), pa.array(n_tokens, pa.int64()), pa.array(fits, pa.int64())] + [pa.array(kept, pa.binary())] * tables
+            yield pa.RecordBatch.from_arrays(found, names=["id", "n_bytes", "n_tokens", "fits_chars"] + ["prefix_table"] * tables)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(batches, f"id {kind}, n_bytes long, n_tokens long, fits_chars long" + ", prefix_table binary" * tables).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(batches, f"id {kind}, n_bytes long, n_tokens long, fits_chars long" + ", prefix_table binary" * tables).withColumnRenamed("id", id_col)

@@ -199,22 +199,23 @@ def test_search_decodes_no_level(monkeypatch):
     monkeypatch.delattr(EliasFano, "decode")
     r = np.random.default_rng(7)
     words, before, follower = (r.integers(1, 60, 4000).astype(np.uint64) for _ in range(3))
-    of, n, lower = np.arange(4000), r.integers(0, 3, 4000).astype(float), ngram_trie.quantised(follower / 100.0)
-    count = {}
-    for v, u, c in zip(words.tolist(), before.tolist(), n.tolist()):
-        count[v, u] = count.get((v, u), 0) + c
-    total = np.array([count[v, u] for v, u in zip(words.tolist(), before.tolist())])
-    trie = ngram_trie.Trie.mapped(ngram_trie.Trie.build(words, before, total, total > 4, of, follower, n, lower).dump())
-    got = ngram_trie.value(trie.lookup(words, before, of, follower, lower))
-    c3, types = collections.Counter(), collections.defaultdict(set)
-    for v, u, w, c in zip(words.tolist(), before.tolist(), follower.tolist(), n.tolist()):
+    of, n3 = np.arange(4000), r.integers(0, 3, 4000).astype(float)
+    first = words + before
+    shared = (words + before) % 7 == 0
+    trie = ngram_trie.Trie.mapped(ngram_trie.Trie.build(words, before, n3, first.astype(float), shared, of, follower, n3, 100.0).dump())
+    two, over, three = (ngram_trie.value(x) for x in trie.lookup(words, before, of, follower))
+    c2, c3, types = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    rows = list(zip(words.tolist(), before.tolist(), follower.tolist(), n3.tolist(), shared.tolist()))
+    for v, u, w, c, _ in rows:
+        c2[v, u] += c
+        c3[v, u, w] += c
         if c:
-            c3[v, u, w] += c
             types[v, u].add(w)
-    for k, (v, u, w) in enumerate(zip(words.tolist(), before.tolist(), follower.tolist())):
-        c, p2 = count[v, u], w / 100
-        want = (c3[v, u, w] + 0.9 * p2) / (c + 0.9) if c > 4 else min((max(c3[v, u, w] - 0.9, 0) + 0.9 * len(types[v, u]) * p2) / max(c, 1), 1) if c else 0
-        assert got[k] == pytest.approx(want, rel=0.003) if c else True
+    for k, (v, u, w, _, hot) in enumerate(rows):
+        c, m = c2[v, u], 6 * (v + u) ** 0.85
+        assert two[k] == pytest.approx(c / (v + u + m), rel=0.001)
+        assert over[k] == pytest.approx(0 if hot or not c else 0.9 * len(types[v, u]) / c, rel=0.001)
+        assert three[k] == pytest.approx(c3[v, u, w] / 100 if hot else max(c3[v, u, w] - 0.9, 0) / max(c, 1), rel=0.001)
 
 
 def plain_scores(texts, held_out, shard_tokens):
@@ -222,9 +223,9 @@ def plain_scores(texts, held_out, shard_tokens):
     c = [collections.Counter() for _ in range(3)]
     for i, w in toks.items():
         if not held_out(i):
-            x = [b"", b"", *w]
+            x = [b"", *w]
             c[0].update(w)
-            c[1].update(zip(x[1:], x[2:]))
+            c[1].update(zip(x, x[1:]))
             c[2].update(zip(x, x[1:], x[2:]))
     of, types = [collections.Counter(), collections.Counter()], collections.Counter()
     for k in (0, 1):
@@ -236,19 +237,19 @@ def plain_scores(texts, held_out, shard_tokens):
     shards = max(8, -(-sum(map(len, toks.values())) // shard_tokens))
     out = {}
     for i, w in toks.items():
-        x, base, score = [b"", b"", *w], 0.0, 0.0
+        x, base, score = [None, b"", *w], 0.0, 0.0
         for k in range(2, len(x)):
             p = (c[0][x[k]] + 1) / (n + len(c[0]) + 1)
             base += math.log10(p)
             if total := of[0][x[k - 1],]:
                 m = 6 * total**0.85
                 p = (c[1][x[k - 1], x[k]] + m * p) / (total + m)
-            g = (x[k - 2], x[k - 1])
-            if total := of[1][g]:
-                if 4 * shards * total / n > 1:  # its followers are dealt to several shards
-                    p = (c[2][*g, x[k]] + 0.9 * p) / (total + 0.9)
+            u, v = x[k - 2], x[k - 1]
+            if total := of[1][u, v]:
+                if 4 * shards * min(c[0][u], c[0][v]) / n > 1:  # its followers are dealt to several shards
+                    p = (c[2][u, v, x[k]] + 0.9 * p) / (total + 0.9)
                 else:
-                    p = (max(c[2][*g, x[k]] - 0.9, 0) + 0.9 * types[g] * p) / total
+                    p = (max(c[2][u, v, x[k]] - 0.9, 0) + 0.9 * types[u, v] * p) / total
             score += math.log10(p)
         out[i] = (len(w), sum(c[0][y] > 0 for y in w), base, score)
     return out, n
