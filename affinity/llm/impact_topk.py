@@ -4,9 +4,8 @@ Components are whole numbers.  Vectors are dealt to blocks, and each block is
 indexed once and written: for every component its range is cut into levels of
 quantised impact, and a segment holds the rows of one level, with the largest and
 the least impact in it.  A query takes the segments of all components by the most
-that one posting of them adds to a score, largest first, and adds that up by row,
-so that a row's sum is never below its share of the score.  After every few
-segments it looks whether it may stop: for each row, its sum plus the most that
+that one posting of them adds to a score, largest first, and adds their impacts
+up by row.  After a part of the postings it looks whether it may stop: for each row, its sum plus the most that
 is left for components that the row was not met in, against a score that k rows
 are known to reach.  It stops only when few rows are left that may get there, or
 when all segments are through, and those rows are scored exactly; so the result
@@ -38,9 +37,9 @@ from affinity.llm.common import forget, written
 #: Vectors of an index block and queries of a query block.
 BLOCK, QUERY_BLOCK = 8_192, 4_096
 #: Levels of quantised impact of a component.
-LEVELS = 256
-#: Shares of the postings after which a query looks whether it may stop, and rows that it scores exactly at once.
-LOOKS, EXACT = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), 128
+LEVELS = 64
+#: Shares of the postings after which a query looks whether it may stop, and the part of a block's rows (one in so many) that it scores exactly at once.
+LOOKS, EXACT = (0.1, 0.5, 0.65, 0.8, 1.0), 8
 
 
 def _slim(a: np.ndarray) -> np.ndarray:
@@ -56,11 +55,9 @@ class ImpactIndex:
 
     def __init__(self, x: np.ndarray, rows: np.ndarray, ends: np.ndarray, most: np.ndarray, least: np.ndarray):
         self.x = x.astype(np.float64)  # sums stay exact below 2^53
-        self.rows, self.ends = rows, ends.astype(np.int64)  # by component: rows from the least level up; where each level ends
+        self.rows, self.ends = rows.astype(np.int64), ends.astype(np.int64)  # by component: rows from the least level up; where each level ends
         self.most, self.least = most.astype(np.float64), least.astype(np.float64)  # by component and level
-        sizes = np.diff(self.ends, prepend=0, axis=1)
-        self.high = np.array([np.repeat(m, s) for m, s in zip(self.most, sizes)])  # the same by posting
-        self.low = np.array([np.repeat(m, s) for m, s in zip(self.least, sizes)])
+        self.impacts = np.take_along_axis(self.x.T, self.rows, axis=1)  # by component and posting
 
     @classmethod
     def parts(cls, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -113,18 +110,21 @@ class ImpactIndex:
         through = np.cumsum(sizes.ravel()[ranked])
         total, score, met = int(through[-1]), np.zeros(n), np.zeros(n, np.int64)
         done = np.zeros(len(parts), np.int64)  # postings read of each component
-        weights, columns, ascending = w.tolist(), parts.tolist(), up.tolist()
+        weights, columns = w.tolist(), parts.tolist()
         for share in LOOKS:
             # all segments that add as much as the last one of this share
             bar = adds.ravel()[ranked[min(int(np.searchsorted(through, share * total)), len(ranked) - 1)]] if share < 1 else -np.inf
             read = np.where((reach := (adds >= bar) & (sizes > 0)).any(axis=1), ends[np.arange(len(parts)), adds.shape[1] - 1 - reach[:, ::-1].argmax(axis=1)], 0) if share < 1 else ends[:, -1]
-            for j, (a, b) in enumerate(zip(done.tolist(), read.tolist())):
+            rows, add = [], []
+            for d, weight, a, b in zip(columns, weights, done.tolist(), read.tolist()):
                 if b > a:
-                    d, rising = columns[j], ascending[j]
-                    part = slice(n - b, n - a) if rising else slice(a, b)
-                    at = self.rows[d, part]
-                    score[at] += (self.high if rising else self.low)[d, part] * weights[j]
-                    met[at] += 1
+                    part = slice(n - b, n - a) if weight > 0 else slice(a, b)
+                    rows.append(self.rows[d, part])
+                    add.append(self.impacts[d, part] * weight)
+            if rows:
+                at = np.concatenate(rows)
+                score += np.bincount(at, np.concatenate(add), n)
+                met += np.bincount(at, minlength=n)
             done = np.maximum(done, read)
             # the most that is left: by component never met, or the largest of those begun
             left = np.max(np.where((ends > done[:, None]) & (sizes > 0), adds, -np.inf), axis=1)
@@ -137,7 +137,7 @@ class ImpactIndex:
             if len(first) >= k:
                 known = max(known, float((self.x[first] @ q.astype(np.float64)).min()))
             may = np.flatnonzero(most >= known)
-            if len(may) <= EXACT or share == 1:
+            if len(may) * EXACT <= n or share == 1:
                 return self._exact(may, q, k, known, names)
         raise AssertionError
 
