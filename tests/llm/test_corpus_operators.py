@@ -139,6 +139,60 @@ def test_best_fit_by_hand():
     assert cost(many) <= cost(one) and one.sum() < 1.1 * sum(sizes)
 
 
+def plain_best_fit(sizes, permitted, largest):
+    """Each size into the fullest open bin that holds it, else into a new one."""
+    bins, rooms, contents = [], [], []
+    for size in sizes:
+        fits = [(room, -k) for k, room in enumerate(rooms) if room >= size]
+        if fits:
+            b = -min(fits)[1] if len({r for r, _ in fits}) == len(fits) else None
+            least = min(r for r, _ in fits)
+            b = [k for k, room in enumerate(rooms) if room == least]
+            b = max(b, key=lambda k: last[k])
+        else:
+            options = [c for c in permitted if c >= size]
+            options = [c for c in options if c <= largest] or options[:1]
+            room = min(options, key=lambda c: (packing.sequence_cost(c) / c, c))
+            b = len(rooms)
+            rooms.append(room)
+            contents.append(0)
+            if b == 0:
+                last = {}
+        bins.append(b)
+        contents[b] += size
+        rooms[b] -= size
+        last[b] = len(bins)
+    return bins, contents
+
+
+def test_packing_against_plain_best_fit(spark):
+    """The query's bins on all given documents are those of a plain best fit over all permitted lengths."""
+    got = queries.op2_packing(spark, SMALL).toPandas()
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    tokens = {i: len((t or "").encode().split()) + 1 for i, t in texts.items()}
+    assert got.groupby("doc_id")["length"].sum().to_dict() == tokens
+    assert sum(tokens.values()) <= packing.GROUP_TOKENS
+    sizes = sorted((min(8192, n - at) for n in tokens.values() for at in range(0, n, 8192)), reverse=True)
+    best = None
+    for largest in packing.LENGTHS:
+        _, contents = plain_best_fit(sizes, packing.LENGTHS, largest)
+        final = [min(c for c in packing.LENGTHS if c >= n) for n in contents]
+        cost = sum(map(packing.sequence_cost, final))
+        if best is None or cost < best[0]:
+            best = cost, sorted(zip(contents, final))
+    bins = got.groupby("bin").agg(n=("length", "sum"), capacity=("capacity", "first"))
+    assert sorted(zip(bins["n"].tolist(), bins["capacity"].tolist())) == best[1]
+
+
+def test_large_ids_beside_a_missing_one(spark):
+    ids = [2**53 + 1, None, 2**53 + 3]
+    docs = spark.createDataFrame([(i, f"a b c d e f {i}") for i in ids], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in packing.pack_documents(docs).collect()} == set(ids)
+    for r in near_dedup.near_duplicates(docs).collect():
+        assert r["component_id"] == r["doc_id"] and r["doc_id"] in ids
+    assert {r["doc_id"] for r in lm_score.score(docs, F.lit(False)).collect()} == set(ids)
+
+
 # --- mixing
 
 
@@ -151,6 +205,35 @@ def test_targets_are_met(spark):
     assert ((got["copies"] - got["rate"]).abs() < 1).all()
 
 
+def test_memberships_against_plain_naive_bayes(spark):
+    texts = {r["doc_id"]: (r["text"] or "") for r in table(spark, SMALL, "documents").collect()}
+    langs = {r["doc_id"]: r["lang"] for r in table(spark, SMALL, "documents").collect()}
+    labelled = {r["doc_id"] for r in table(spark, SMALL, "labels").collect()} & set(texts)
+    domains = sorted(queries.LANGUAGES)
+    words = {i: set(t.encode().lower().split()) for i, t in texts.items()}
+    size = collections.Counter(langs[i] for i in labelled if langs[i] in domains)
+    count = {d: collections.Counter(w for i in labelled if langs[i] == d for w in words[i]) for d in domains}
+    total = sum(count.values(), collections.Counter())
+    least = min(c for c in set(total.values()) if sum(n >= c for n in total.values()) <= mixing.VOCABULARY)
+    vocabulary = {w for w, n in total.items() if n >= least}
+    n = sum(size.values())
+    for r in queries.op3_mixing(spark, SMALL).collect():
+        met = words[r["doc_id"]] & vocabulary
+        scale = min(1.0, mixing.EVIDENCE / max(len(met), 1))
+        logs = [math.log((size[d] + 1) / (n + len(domains))) + scale * sum(math.log((count[d][w] + 0.5) / (size[d] + 1)) for w in met) for d in domains]
+        e = [math.exp(x - max(logs)) for x in logs]
+        assert all(r[f"p_{d}"] == pytest.approx(x / sum(e), abs=1e-9) for d, x in zip(domains, e))
+        assert r["residual"] < 1e-6
+
+
+def test_targets_that_cannot_be_met(spark):
+    rows = spark.createDataFrame([(i, "same words here") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, "a"), (1, "b")], "doc_id long, domain string")
+    assert mixing.mix(rows, labels, {"a": 0.9, "b": 0.1}, steps=3).first()["residual"] > 0.1
+    with pytest.raises(mixing.TargetsMissed):
+        mixing.mix(rows, labels, {"a": 0.9, "b": 0.1}, steps=3, tolerance=0.01)
+
+
 def test_rates_against_plain_projected_gradient(spark):
     r = np.random.default_rng(2)
     n, p = r.integers(1, 500, 60), r.dirichlet([0.3, 0.3, 0.3], 60)
@@ -299,3 +382,22 @@ def test_pipeline(spark):
     labels = table(spark, SMALL, "labels").filter("quality = 1")
     assert table(spark, SMALL, "documents").count() > sizes[0] >= labels.count() * 0.97
     assert corpus_pipeline.run(spark, SMALL).count() == sizes[-1]
+
+
+ODD = {
+    "nulls": [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "a b c d e f", None, None, None), (2**53 + 1, "a b c d e f", "de", "s", 11)],
+    "repeated": [(1, "one two three four five six", "en", "s", 27)] * 3,
+    "empty": [],
+}
+
+
+@pytest.mark.parametrize("case", ODD)
+def test_pipeline_cases(spark, tmp_path, case):
+    docs = spark.createDataFrame(ODD[case], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.withColumns({c: F.lit(7) for c in ("id", "n", "row", "_copies", "rate", "bin")}).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 0), (2, None, 0), (None, 0, 0)] if case != "empty" else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # without labels of both classes nothing is rejected; equal texts are one document
+    ids = {r["doc_id"] for r in got}
+    assert ids == ({1, 2, None} if case == "nulls" else {1} if case == "repeated" else set())

@@ -54,6 +54,32 @@ URLS = [
 ]
 
 
+def test_rules_run_without_python(spark):
+    from affinity.llm.common import table
+
+    plan = queries.op4_url_filter(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "ExistingRDD", "Arrow", "Pandas"))
+    rules = url_filter.SITE_RULES + url_filter.PATTERN_RULES
+    pages = table(spark, SMALL, "pages")
+    assert sorted(map(str, url_filter.judge(pages, url_filter.rule_table(spark, rules)).collect())) == sorted(map(str, url_filter.judge(pages, rules).collect()))
+
+
+PATTERNS = [("||ads.example.com^", "http://x.ads.example.com/a", True), ("||ads.example.com^", "http://bads.example.com/a", False), ("/banner/*/img^", "http://a.b/banner/7/img?x", True), ("/banner/*/img^", "http://a.b/banner/7/imgs", False), ("|a.b/c|", "http://a.b/c", True), ("|a.b/c|", "http://a.b/cd", False)]
+
+
+@pytest.mark.parametrize("text,url,fits", PATTERNS)
+def test_pattern_syntax(spark, text, url, fits):
+    rule = url_filter.pattern_rule(text)
+    df = spark.createDataFrame([(1, url)], "page_id long, url string")
+    row = url_filter.judge(df, [rule]).first()
+    assert (row["pattern"] == text) == fits and (row["verdict"] == "block") == fits
+
+
+def test_rules_without_tokens_are_refused(spark):
+    with pytest.raises(ValueError):
+        url_filter.rule_table(spark, [url_filter.pattern_rule("*x*")])
+
+
 def test_url_cases(spark):
     rows = [(k, u, "rule", "t") for k, (u, *_) in enumerate(URLS)] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, rule string, token string")
@@ -102,6 +128,41 @@ def test_long_training_texts_count_whole(spark):
     assert len(x) > 10_000 and not np.isin(model.squares[x], model.squares[unseen]).any()
 
 
+def test_against_plain_nb_svm():
+    """Log-count ratios by counting, and the hinge-loss optimum by plain sweeps over dense rows."""
+    r = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(r.choice(words[: 25 + 15 * (k % 2)], 12)) for k in range(50)]
+    y = np.arange(50) % 2
+    sets = [set(quality.features(t).tolist()) for t in texts]
+    size = 1 << quality.BITS
+    up, down = np.ones(size), np.ones(size)
+    for s, label in zip(sets, y):
+        for f in s:
+            (up if label else down)[f] += 1
+    want = np.log(up / up.sum()) - np.log(down / down.sum())
+    got = quality._ratios([quality.features(t) for t in texts], y * 2 - 1)
+    assert np.abs(got - want).max() < 1e-12
+    used = sorted(set().union(*sets))
+    place = {f: k for k, f in enumerate(used)}
+    x = np.zeros((50, len(used) + 1))
+    for row, s in zip(x, sets):
+        for f in s:
+            row[place[f]] = want[f]
+        row /= np.linalg.norm(row)
+        row[-1] = 1  # the bias
+    sign, alpha = y * 2.0 - 1, np.zeros(50)
+    gram = (x @ x.T) * np.outer(sign, sign)
+    for _ in range(3000):
+        for i in range(50):
+            alpha[i] = min(max(alpha[i] - (gram[i] @ alpha - 1) / gram[i, i], 0), 1.0)
+    plain = x.T @ (alpha * sign)
+    rows = [quality.features(t) for t in texts]
+    values = [want[f] / np.linalg.norm(want[f]) for f in rows]
+    w, b = quality.descend(rows, values, sign, np.ones(50), size, epochs=3000)
+    assert np.abs(w[used] - plain[:-1]).max() < 2e-3 and abs(b - plain[-1]) < 2e-3
+
+
 def test_descent_separates():
     r = np.random.default_rng(0)
     x = r.normal(size=(60, 5))
