@@ -7,6 +7,7 @@ import json
 import logging
 import os
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +16,7 @@ from affinity.errors import AffinityError
 from affinity.operators.network import CLUSTER_MODES
 from affinity.plans import report
 from affinity.plans.analysis import analyze_path
+from affinity.settings import Settings
 from affinity.sources.synth import write_sample
 
 
@@ -28,8 +30,9 @@ class JsonFormatter(logging.Formatter):
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="affinity", description="Analyse an export of connections.")
     p.add_argument("--version", action="version", version=SCHEMA_VERSION)
-    p.add_argument("--log-level", default=os.environ.get("AFFINITY_LOG_LEVEL", "WARNING"))
-    p.add_argument("--log-json", action="store_true")
+    settings = Settings.from_env()
+    p.add_argument("--log-level", default=settings.log_level)
+    p.add_argument("--log-json", action="store_true", default=settings.log_json)
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("analyze")
     a.add_argument("file")
@@ -55,12 +58,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "analyze" and not os.path.exists(args.file):
         log.error("there is no file %s", args.file)
         return 2
-    spark = spark or SparkSession.builder.appName("affinity").getOrCreate()
+    spark, settings = spark or SparkSession.builder.appName("affinity").getOrCreate(), Settings.from_env()
+    # one group for each run: its jobs can be told apart, and ended, by it
+    spark.sparkContext.setJobGroup(f"affinity-{uuid.uuid4().hex[:12]}", args.command, interruptOnCancel=True)
     try:
         if args.command == "sample":
             write_sample(spark, args.out, args.count, args.seed)
             return 0
-        doc = analyze_path(spark, args.file, cluster_by=args.cluster_by, redact=args.redact, include_graph=not args.no_graph)
+        doc = analyze_path(spark, args.file, cluster_by=args.cluster_by, redact=args.redact or settings.redact, include_graph=not args.no_graph, max_nodes=settings.max_graph_nodes, max_bytes=settings.max_upload_bytes)
     except AffinityError as e:
         log.error("%s", e)
         return 1

@@ -13,23 +13,32 @@ from affinity.operators.components import connected_components
 MIN_WEIGHT, MIN_SIZE = 2, 2
 CLUSTER_MODES = ("company", "year", "function", "seniority", "none")
 MAX_NODES, MAX_SAMPLE = 6000, 60
+#: Employers of a month that one task pairs with as many others.
+MONTH_PART = 2_000
 
 
 def cooccurrence_edges(df: DataFrame, counts: DataFrame, min_weight: int = MIN_WEIGHT) -> DataFrame:
     """Employer pairs (source < target) that gained people in the same months.
 
     weight: months they share.  first_idx, first_source, first_target give the
-    order in which pairs come up reading the file.  Employers of one person are
-    left out before pairs are made; months never pair rows, only employers.
+    order in which pairs come up reading the file.  Employers of one person, and
+    those of fewer months than a pair needs, are left out before pairs are made;
+    months never pair rows, only employers, and one with many of them is dealt to
+    several tasks by a hash of both.
     """
     eligible = counts.filter(F.col("count") >= MIN_SIZE).select("company")
     dated = df.filter("connected_on IS NOT NULL AND company <> ''").join(eligible, "company", "left_semi")
     member = dated.groupBy(month_key(F.col("connected_on")).alias("month"), "company").agg(F.min("row_idx").alias("idx"))
     # a month comes up with the first row of any employer in it
     first = member.groupBy("month").agg(F.min("idx").alias("month_idx"))
-    left = member.join(first, "month").select("month", "month_idx", F.col("company").alias("source"))
-    right = member.select("month", F.col("company").alias("target"))
-    pairs = left.join(right, "month").filter("source < target")
+    often = member.groupBy("company").agg(F.count("*").alias("months")).filter(F.col("months") >= min_weight).select("company")
+    member = member.join(often, "company", "left_semi")
+    sizes = member.groupBy("month").agg(F.ceil(F.count("*") / MONTH_PART).cast("int").alias("parts"))
+    member = member.join(sizes, "month").withColumn("part", F.pmod(F.xxhash64("company"), "parts").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = member.join(first, "month").select("month", "month_idx", F.col("company").alias("source"), F.col("part").alias("i"), every.alias("j"))
+    right = member.select("month", F.col("company").alias("target"), every.alias("i"), F.col("part").alias("j"))
+    pairs = left.join(right, ["month", "i", "j"]).filter("source < target")
     return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"), F.min("month_idx").alias("first_idx")).filter(F.col("weight") >= min_weight)
 
 

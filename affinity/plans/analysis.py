@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from affinity import SCHEMA_VERSION
 from affinity.operators import network, sections, temporal
 from affinity.plans import insights
-from affinity.sources.export import ParseReport, read_export
+from affinity.sources.export import MAX_BYTES, ParseReport, read_export
 from affinity.storage import shared_dir
 
 
@@ -145,9 +145,10 @@ def graph(df: DataFrame, cluster_by: str, redact: bool, max_nodes: int = network
     return {"cluster_by": mode, "redacted": redact, "truncated": df.count() > max_nodes, "node_count": len(nodes), "edge_count": len(edges), "nodes": nodes, "edges": edges}
 
 
-def analyze(df: DataFrame, report: ParseReport | None = None, *, cluster_by: str = "company", redact: bool = False, include_graph: bool = True) -> dict:
+def analyze(df: DataFrame, report: ParseReport | None = None, *, cluster_by: str = "company", redact: bool = False, include_graph: bool = True, max_nodes: int = network.MAX_NODES) -> dict:
     """The analysis document of enriched connections."""
     began = time.perf_counter()
+    kept = df.is_cached
     df = df.persist()
     try:
         counts, days = sections.company_counts(df).persist(), temporal.day_counts(df).persist()
@@ -168,16 +169,16 @@ def analyze(df: DataFrame, report: ParseReport | None = None, *, cluster_by: str
         }
         out["insights"] = insights.generate(out)
         if include_graph:
-            out["graph"] = graph(df, cluster_by, redact)
+            out["graph"] = graph(df, cluster_by, redact, max_nodes)
         out["runtime_ms"] = round((time.perf_counter() - began) * 1000, 1)
         return out
     finally:
-        for t in (counts, days, df):
+        for t in (counts, days, *([] if kept else [df])):
             t.unpersist()
 
 
-def analyze_path(spark: SparkSession, path: str, **how) -> dict:
-    df, report = read_export(spark, path)
+def analyze_path(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, **how) -> dict:
+    df, report = read_export(spark, path, max_bytes)
     return analyze(df, report, **how)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from affinity.adapter import connections, connections_sql, raw_connections
 from affinity.functions import dates, estimators, text
 from affinity.operators import network, sections, temporal
+from affinity.plans import analysis, insights as findings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -417,7 +418,7 @@ def graph_edges(spark, d):
     return network.graph_payload(connections(spark, d))[1]
 
 
-@_add("graph_edges_by_year", _conn(f", {_PEOPLE.replace('company AS key', 'CAST(year(connected_on) AS VARCHAR) AS key')}, {_HUBS} SELECT id AS person, hub FROM people JOIN hubs USING (key)"))
+@_add("graph_edges_by_year", _conn(f", {_PEOPLE.replace('company AS key', 'coalesce(CAST(year(connected_on) AS VARCHAR), 'Undated') AS key')}, {_HUBS} SELECT id AS person, hub FROM people JOIN hubs USING (key)"))
 def graph_edges_by_year(spark, d):
     return network.graph_payload(connections(spark, d), "year")[1]
 
@@ -436,3 +437,51 @@ def redacted_people(spark, d):
 )
 def public_people(spark, d):
     return network.public_people(connections(spark, d))
+
+
+# --- findings ------------------------------------------------------------------------------------
+def _insights_sql() -> str:
+    """The rules as conditions over the SQL of the sections, written out apart from the table of rules."""
+    parts = {"o": "overview", "c": "concentration", "h": "half_life", "v": "velocity", "a": "activity", "s": "seniority_summary", "d": "seniority_drift", "f": "function_summary", "e": "entity_resolution", "q": "data_quality"}
+    one = ", ".join(f"{k}_ AS (SELECT count(*) AS {k}_rows, {{}} FROM ({SQL[name]}))" for k, name in parts.items())
+    columns = {
+        "o": "any_value(connections) AS n, any_value(with_date) AS dated",
+        "c": "any_value(singleton_rate) AS singles, any_value(tail_regime) AS regime, any_value(powerlaw_alpha) AS alpha",
+        "h": "any_value(half_life) AS half_life, any_value(elapsed_fraction) AS part",
+        "v": "any_value(prior_12m) AS prior",
+        "a": "any_value(duty_cycle) AS duty",
+        "s": "any_value(classified_rate) AS classified",
+        "d": "any_value(interpretation) AS trend, any_value(r_squared) AS fit",
+        "f": "any_value(modal) AS modal, any_value(homophily_index) AS homophily",
+        "e": "any_value(merged) AS merged",
+        "q": "least(any_value(company), any_value(position), any_value(connected_on)) AS filled",
+    }
+    one = one.format(*columns.values())
+    return f"""WITH {one}, b_ AS (SELECT count(*) AS bursts FROM ({SQL['bursts']})), p_ AS (SELECT count(*) AS pairs FROM ({SQL['cooccurrence_edges']})), r_ AS (SELECT count(DISTINCT era) AS eras FROM ({SQL['eras']})),
+    x AS (SELECT *, dated >= 2 AS timed FROM o_, c_, h_, v_, a_, s_, d_, f_, e_, q_, b_, p_, r_),
+    found AS (
+        SELECT 1 AS i, 'few_employers_weigh_most' AS rule, 'concentration' AS kind, n >= 150 AS sure, 'medium' AS other FROM x WHERE c_rows > 0
+        UNION ALL SELECT 2, 'employers_of_one_person', 'structure', n >= 100, 'medium' FROM x WHERE singles >= 0.5
+        UNION ALL SELECT 3, 'heavy_tail', 'distribution', FALSE, 'medium' FROM x WHERE regime IN ('heavy_tailed', 'extreme_hub_dominance') AND alpha <> 0
+        UNION ALL SELECT 4, 'when_half_was_there', 'temporal', TRUE, '' FROM x WHERE timed AND part IS NOT NULL AND half_life IS NOT NULL
+        UNION ALL SELECT 5, 'months_out_of_line', 'temporal', n >= 100, 'medium' FROM x WHERE timed AND bursts > 0
+        UNION ALL SELECT 6, 'pace_of_late', 'temporal', FALSE, 'medium' FROM x WHERE timed AND prior > 0
+        UNION ALL SELECT 7, 'episodes', 'temporal', TRUE, '' FROM x WHERE timed AND duty < 0.5
+        UNION ALL SELECT 8, 'leaders', 'composition', n >= 150, 'medium' FROM x WHERE classified >= 0.4
+        UNION ALL SELECT 9, 'trend_of_rank', 'composition', FALSE, CASE WHEN fit > 0.5 THEN 'medium' ELSE 'low' END FROM x WHERE trend <> 'flat'
+        UNION ALL SELECT 10, 'one_function', 'composition', n >= 150, 'medium' FROM x WHERE modal IS NOT NULL AND homophily > 0
+        UNION ALL SELECT 11, 'employers_in_step', 'structure', FALSE, 'medium' FROM x WHERE pairs > 0
+        UNION ALL SELECT 12, 'only_one_hop', 'methodology', TRUE, '' FROM x
+        UNION ALL SELECT 13, 'chapters', 'temporal', FALSE, 'medium' FROM x WHERE eras >= 2
+        UNION ALL SELECT 14, 'spellings_merged', 'data_quality', TRUE, '' FROM x WHERE merged > 0
+        UNION ALL SELECT 15, 'empty_fields', 'data_quality', TRUE, '' FROM x WHERE filled < 0.85),
+    said AS (SELECT i, rule, kind, CASE WHEN sure THEN 'high' ELSE other END AS confidence FROM found WHERE (SELECT n FROM x) > 0)
+    SELECT row_number() OVER (ORDER BY list_position(['high', 'medium', 'low'], confidence), kind, i) AS place, rule, kind, confidence FROM said"""
+
+
+@_add("insights", _insights_sql())
+def insights(spark, d):
+    """Which rules of the findings hold, in their order."""
+    doc = analysis.analyze(connections(spark, d), include_graph=False)
+    rows = [(k, r.name, r.kind, sure) for k, (r, _, sure) in enumerate(findings.fired(doc), 1)]
+    return spark.createDataFrame(rows, "place long, rule string, kind string, confidence string")

@@ -8,6 +8,7 @@ most 25 rows; the rest is one lazy projection.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ COLUMN_ALIASES = {
 }
 HEADER_SCAN = 25
 MAX_BYTES = 64 * 1024 * 1024
+#: Columns read at least; more where a line has more commas.
 WIDTH = 64
 _HIGH = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 _LATIN, _CP1252 = _HIGH.decode("latin-1"), _HIGH.decode("cp1252")
@@ -90,7 +92,8 @@ def _stripped(c: Column) -> Column:
 
 def read_cells(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """at (file order) and c0, c1, ...: the cells of every row that is not blank."""
-    names = [f"c{k}" for k in range(WIDTH)]
+    commas = spark.read.text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))))).first()[0] or 0
+    names = [f"c{k}" for k in range(max(WIDTH, commas + 1))]
     reader = spark.read.schema(", ".join(f"{c} string" for c in names)).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1")
     cells = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     if encoding == "cp1252":
@@ -102,10 +105,14 @@ def read_cells(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 def read_export(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, ParseReport]:
     """Enriched connections of an export, in file order, and the report.
 
-    Raises ParseError where the file cannot be used: too large, empty, without a
+    A path that holds several files is read file by file, in the order of their
+    names; each has a header of its own, and the report adds them up.  Raises ParseError where the file cannot be used: too large, empty, without a
     header, without name columns, or without any row.
     """
     ship_package(spark)
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    if len(files) > 1:
+        return _together([read_export(spark, f, max_bytes) for f in files])
     encoding = detect_encoding(spark, path, max_bytes)
     cells = read_cells(spark, path, encoding)
     head = [list(r) for r in cells.limit(HEADER_SCAN).collect()]
@@ -138,6 +145,23 @@ def read_export(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> t
     return out, report
 
 
+def _together(parts: list[tuple[DataFrame, ParseReport]]) -> tuple[DataFrame, ParseReport]:
+    """The rows of several files one after another, and their reports added up; header and columns are those of the first."""
+    rows = [df.withColumn("row_idx", F.col("row_idx") + F.lit(k << 40)) for k, (df, _) in enumerate(parts)]
+    first, total = parts[0][1], ParseReport()
+    total.header_row_index, total.detected_columns = first.header_row_index, first.detected_columns
+    for _, report in parts:
+        for name in ("rows_scanned", "rows_parsed", "rows_skipped", "missing_company", "missing_position", "unparsed_dates"):
+            setattr(total, name, getattr(total, name) + getattr(report, name))
+        total.warnings += [w for w in report.warnings if w not in total.warnings]
+    return reduce(DataFrame.unionByName, rows), total
+
+
+def iter_names(df: DataFrame) -> DataFrame:
+    """The names of connections, in file order."""
+    return df.orderBy("row_idx").select(F.btrim(F.concat_ws(" ", "first_name", "last_name")).alias("name"))
+
+
 def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Enriched connections from dicts of the raw fields; missing ones are empty."""
     names = list(COLUMN_ALIASES)

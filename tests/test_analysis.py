@@ -12,6 +12,7 @@ from affinity.operators import network, sections, temporal
 from affinity.operators.components import connected_components
 from affinity.plans import report
 from affinity.plans.analysis import analyze, analyze_bytes, analyze_path
+from affinity.settings import Settings
 from affinity.sources import export
 from affinity.sources.synth import generate, write_sample
 from affinity.streaming import sessions, windowed_counts
@@ -63,6 +64,37 @@ def test_other_headers(spark, tmp_path):
     assert tuple(df.select("position", "company", "connected_on").first()) == ("Dean", "Org", dt.date(2020, 1, 2))
 
 
+def test_several_files_and_wide_rows(spark, tmp_path):
+    wide = "First,Last,Title," + ",".join(f"x{k}" for k in range(100)) + ",Organization\n"
+    saved(tmp_path, HEADER + "A,B,,,Acme,Dean,1 Jan 2020\n", "a.csv")
+    saved(tmp_path, wide + "C,D,Nurse," + "," * 100 + "Other\n", "b.csv")
+    df, r = export.read_export(spark, str(tmp_path))
+    assert [(x["first_name"], x["company"], x["position"]) for x in df.orderBy("row_idx").collect()] == [("A", "Acme", "Dean"), ("C", "Other", "Nurse")]
+    assert (r.rows_parsed, r.unparsed_dates) == (2, 1)
+    assert [x["name"] for x in export.iter_names(df).collect()] == ["A B", "C D"]
+
+
+def test_settings():
+    s = Settings.from_env({"AFFINITY_LOG_LEVEL": "info", "AFFINITY_REDACT": "yes", "AFFINITY_MAX_UPLOAD_MB": "2", "AFFINITY_MAX_GRAPH_NODES": "many"})
+    assert (s.log_level, s.redact, s.max_upload_bytes, s.max_graph_nodes, s.log_json) == ("INFO", True, 2 << 20, 6000, False)
+
+
+def test_package_offers_what_it_names():
+    import affinity
+
+    assert all(getattr(affinity, name) is not None for name in affinity.__all__) and len(affinity.__all__) >= 25
+    with pytest.raises(AttributeError):
+        affinity.nothing
+
+
+def test_employer_pairs_split_months(spark, monkeypatch):
+    monkeypatch.setattr(network, "MONTH_PART", 2)
+    rows = [("A", "B", f"E{k % 7}", "", f"{1 + k % 28} {m} 2020") for m in ("Jan", "Feb", "Mar") for k in range(14) if (k % 7, m) not in ((6, "Jan"), (6, "Feb"))]
+    df = people(spark, rows)
+    got = {(r["source"], r["target"]): r["weight"] for r in network.cooccurrence_edges(df, sections.company_counts(df)).collect()}
+    assert got == {(f"E{a}", f"E{b}"): 3 for b in range(6) for a in range(b)}
+
+
 def test_bytes(spark):
     doc = analyze_bytes(spark, MINIMAL.encode(), include_graph=False)
     assert doc["overview"]["connections"] == 4 and "graph" not in doc
