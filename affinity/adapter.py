@@ -35,7 +35,7 @@ def raw_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://example.com/in/"), key.cast("string")).alias("url"),
         F.when(key % 25 == 0, "").otherwise(F.concat(stem, pick(SUFFIXES, 1 + key % 5))).alias("company_raw"),
         pick(TITLES, 1 + key % 8).alias("position_raw"),
-        F.when(key % 4 == 3, F.date_format(day, "MMM dd, yyyy")).otherwise(F.date_format(day, "dd MMM yyyy")).alias("connected_on_raw"),
+        F.when(dated, F.when(key % 4 == 3, F.date_format(day, "MMM dd, yyyy")).otherwise(F.date_format(day, "dd MMM yyyy"))).otherwise(F.lit("")).alias("connected_on_raw"),
     )
 
 

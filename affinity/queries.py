@@ -418,7 +418,7 @@ def graph_edges(spark, d):
     return network.graph_payload(connections(spark, d))[1]
 
 
-@_add("graph_edges_by_year", _conn(f", {_PEOPLE.replace('company AS key', 'coalesce(CAST(year(connected_on) AS VARCHAR), 'Undated') AS key')}, {_HUBS} SELECT id AS person, hub FROM people JOIN hubs USING (key)"))
+@_add("graph_edges_by_year", _conn(f", {_PEOPLE.replace('company AS key', "coalesce(CAST(year(connected_on) AS VARCHAR), 'Undated') AS key")}, {_HUBS} SELECT id AS person, hub FROM people JOIN hubs USING (key)"))
 def graph_edges_by_year(spark, d):
     return network.graph_payload(connections(spark, d), "year")[1]
 
