@@ -161,7 +161,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
 
     Rows that repeat an id get the copies of the one with most; rows without an id stay once.
     """
-    copies = written(mix(docs, labelled, targets, id_col, text_col, **how).filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("copies").alias("_copies")), "copies")
+    copies = mix(docs, labelled, targets, id_col, text_col, **how).filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("copies").alias("copies"))
+    copies = written(copies, "copies")
     few = copies.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(copies) if few else copies, id_col, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1))).filter("_copies > 0")
-    return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    # the row travels whole, so its columns' names meet no others
+    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("doc")).join(F.broadcast(copies) if few else copies, "id", "left")
+    times = F.coalesce("copies", F.lit(1))
+    return rows.filter(times > 0).select("doc", F.explode(F.sequence(F.lit(1), times)).alias("time")).select("doc.*")
