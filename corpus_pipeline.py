@@ -5,6 +5,13 @@ duplicates one document stays; languages are mixed to target weights by seeing
 documents of the rarer ones more often (no document goes); and what is left is
 packed into training sequences.  Each stage reads the table the one before it
 wrote.
+
+Cases: rows without an id go through all stages, each by itself.  Null and empty
+texts get the score of the classifier's bias, link with nothing, are mixed by the
+prior and packed as their end alone.  Rows that repeat an id are kept, dropped and
+copied together.  Without labels of both classes the score is the share of label
+1, which rejects all only below the least score.  Extra columns, whatever their
+names, are kept up to packing; empty tables give empty results.
 """
 
 from __future__ import annotations
