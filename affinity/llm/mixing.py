@@ -8,8 +8,9 @@ starting from one and never falling below a floor.
 
 Only DataFrame operations run: the words of a document meet a vocabulary of
 bounded size in a broadcast join, and a step needs one sum for each domain.  The
-rate of a row is an expression over its memberships and the steps so far, so
-steps pass no table on.
+rate of a row is an expression over its memberships and the steps, which are data
+of the expression and not nested in it; rates are written now and then, so that
+neither plans nor work grow with the steps made before.
 
 Residuals are weighed by the inverse of the domains' overlap matrix.  In the
 metric of token shares the fit then has a Lipschitz constant of one, and steps
@@ -42,6 +43,8 @@ BROADCAST_IDS = 2_000_000
 #: Words of evidence that a document's membership may rest on; more are scaled down to so many.
 EVIDENCE = 20.0
 STEPS, CLOSE = 60, 1e-7
+#: After so many steps the rates are written, so that a step costs the same however many came before it.
+WRITTEN_STEPS = 10
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -125,15 +128,27 @@ def fit_rates(rows: DataFrame, targets: list[float], floor: float = 0.0, total:
     wanted = w * total
     weigh = np.linalg.pinv(overlap + 1e-9 * np.eye(k))
 
-    rate, reached, done = F.lit(1.0), held, 0
+    def after(start: Column, pushes: list[list[float]]) -> Column:
+        """The rate that these steps lead to; the steps are data, so the expression is the same for any number."""
+        return F.aggregate(F.lit(pushes), start, lambda r, push: F.greatest(F.lit(float(floor)), r - sum((p[j] * push[j] for j in range(k)), F.lit(0.0)))) if pushes else start
+
+    state, kept = rows.select("n", "p", F.lit(1.0).alias("rate")), None
+    pushes, since, reached, done = [], 0, held, 0
     for done in range(steps + 1):
         residual = (reached - wanted) / tokens
         if np.abs(residual).max() <= CLOSE or done == steps:
             break
-        push = np.round(weigh @ residual, 12).tolist()
-        rate = F.greatest(F.lit(float(floor)), rate - sum((p[j] * F.lit(push[j]) for j in range(k)), F.lit(0.0)))
-        reached = np.array(rows.select(rate.alias("r"), "n", "p").agg(*[F.sum(F.col("r") * F.col("n") * F.col("p")[j]) for j in range(k)]).first(), float)
-    return rate, {"tokens": tokens, "total": float(total), "steps": done, "wanted": wanted.tolist(), "reached": reached.tolist(), "residual": float(np.abs((reached - wanted) / tokens).max())}
+        pushes.append(np.round(weigh @ residual, 12).tolist())
+        now = state.select("n", "p", after(F.col("rate"), pushes[since:]).alias("rate"))
+        if len(pushes) - since == WRITTEN_STEPS:  # later steps start from here
+            now, before = written(now, "rates"), kept
+            state, kept, since = now, now, len(pushes)
+            if before is not None:
+                forget(before)
+        reached = np.array(now.agg(*[F.sum(F.col("rate") * F.col("n") * F.col("p")[j]) for j in range(k)]).first(), float)
+    if kept is not None:
+        forget(kept)
+    return after(F.lit(1.0), pushes), {"tokens": tokens, "total": float(total), "steps": done, "wanted": wanted.tolist(), "reached": reached.tolist(), "residual": float(np.abs((reached - wanted) / tokens).max())}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, total: float | None = None, *, vocabulary: int = VOCABULARY, evidence: float = EVIDENCE, steps: int = STEPS, tolerance: float | None = None) -> DataFrame:
