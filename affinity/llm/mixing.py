@@ -16,6 +16,11 @@ Residuals are weighed by the inverse of the domains' overlap matrix.  In the
 metric of token shares the fit then has a Lipschitz constant of one, and steps
 of length one converge at once where the floor is not met, and fast otherwise.
 
+With a floor of one no domain can have fewer tokens than it holds.  At the least
+total that allows for that, only rows without a trace of the domain that decides
+it could be seen more often, and the targets are hardly met; so the total is a
+little larger, by the part ``room``.
+
 The size of the vocabulary, the labelled documents that it is counted on, the
 evidence that a membership may rest on and the steps are parameters of the model.
 What the fit misses of the targets is reported, as a share of all tokens, in
@@ -43,6 +48,8 @@ BROADCAST_IDS = 2_000_000
 #: Words of evidence that a document's membership may rest on; more are scaled down to so many.
 EVIDENCE = 20.0
 STEPS, CLOSE = 60, 1e-7
+#: Part by which the total exceeds the least one that a floor of one allows.
+ROOM = 0.02
 #: After so many steps the rates are written, so that a step costs the same however many came before it.
 WRITTEN_STEPS = 10
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,12 +111,12 @@ def memberships(docs: DataFrame, model: DataFrame, priors: list[float], id_col:
     return sums.select("row", "id", "n", F.array(*[F.col(f"e{j}") / whole for j in k]).alias("p"))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], floor: float = 0.0, total: float | None = None, steps: int = STEPS) -> tuple[Column, dict]:
+def fit_rates(rows: DataFrame, targets: list[float], floor: float = 0.0, total: float | None = None, steps: int = STEPS, room: float = ROOM) -> tuple[Column, dict]:
     """The rate of a row (n, p) as an expression, and what the fit reached.
 
     targets: weights of the domains.  total: tokens wanted in all; without it, the
     tokens there are, or with a floor of one the least total at which no domain
-    needs fewer tokens than it has.
+    needs fewer tokens than it has, and the part ``room`` of it more.
     """
     k = len(targets)
     w = np.array(targets, float) / sum(targets)
@@ -124,7 +131,7 @@ def fit_rates(rows: DataFrame, targets: list[float], floor: float = 0.0, total:
     for (i, j), s in zip(pairs, sums[1 + k :]):
         overlap[i, j] = overlap[j, i] = s / tokens
     if total is None:
-        total = tokens if floor < 1 else max(tokens, max((h / x for h, x in zip(held, w) if x > 0), default=tokens))
+        total = tokens if floor < 1 else max(tokens, max((h / x for h, x in zip(held, w) if x > 0), default=tokens)) * (1 + room)
     wanted = w * total
     weigh = np.linalg.pinv(overlap + 1e-9 * np.eye(k))
 
@@ -151,7 +158,7 @@ def fit_rates(rows: DataFrame, targets: list[float], floor: float = 0.0, total:
     return after(F.lit(1.0), pushes), {"tokens": tokens, "total": float(total), "steps": done, "wanted": wanted.tolist(), "reached": reached.tolist(), "residual": float(np.abs((reached - wanted) / tokens).max())}
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, total: float | None = None, *, vocabulary: int = VOCABULARY, evidence: float = EVIDENCE, steps: int = STEPS, tolerance: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, total: float | None = None, *, vocabulary: int = VOCABULARY, evidence: float = EVIDENCE, steps: int = STEPS, room: float = ROOM, tolerance: float | None = None) -> DataFrame:
     """id, n_tokens, p_<domain> for every target, rate, copies and residual of every row.
 
     labelled: id_col and ``domain``.  copies: the rate, rounded up or down by a hash
@@ -163,7 +170,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     model, priors = word_model(docs, labelled.select(F.col(id_col).alias("id"), "domain"), domains, id_col, text_col, vocabulary)
     rows = written(memberships(docs, model, priors, id_col, text_col, evidence), "memberships")
     forget(model)
-    rate, fitted = fit_rates(rows, [targets[d] for d in domains], floor, total, steps)
+    rate, fitted = fit_rates(rows, [targets[d] for d in domains], floor, total, steps, room)
     if tolerance is not None and fitted["residual"] > tolerance:
         raise TargetsMissed(f"{fitted['residual']:.6f} of the tokens are missed after {fitted['steps']} steps")
     chance = F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))

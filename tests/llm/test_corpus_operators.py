@@ -250,6 +250,14 @@ def test_rates_against_plain_projected_gradient(spark):
     assert np.abs(plain - got).max() < 1e-6
 
 
+def test_floor_of_one_meets_the_targets(spark):
+    docs = table(spark, SMALL, "documents")
+    got = mixing.mix(docs, queries.labelled_languages(docs, table(spark, SMALL, "labels")), queries.LANGUAGES, floor=1.0).toPandas()
+    assert (got["rate"] >= 1).all() and (got["copies"] >= 1).all() and (got["residual"] < 1e-6).all()
+    tokens = {d: (got["rate"] * got["n_tokens"] * got[f"p_{d}"]).sum() for d in queries.LANGUAGES}
+    assert all(t / sum(tokens.values()) == pytest.approx(queries.LANGUAGES[d], abs=1e-6) for d, t in tokens.items())
+
+
 def test_mixing_cases(spark):
     docs = documents(spark).withColumns({"word": F.lit("w"), "met": F.lit(1), "rate": F.lit(9.0)})
     labels = spark.createDataFrame([(3, "a"), (3, "a"), (4, "b"), (5, "zz"), (6, None), (None, "a")], "doc_id long, domain string")
