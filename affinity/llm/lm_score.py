@@ -12,7 +12,10 @@ need from the whole corpus they ask for and get back as packed arrays:
    blocks asked by successor search on the coded levels, and answers with the
    quantised probabilities and weights.  If its executor is lost, the shard is
    built again from the requests.
-3. Each block scores its documents from the answers.
+3. What follows the most frequent pairs is dealt to several shards.  These send how
+   many different words they hold after each such pair to the pair's first shard,
+   which adds them up and answers with the pair's count and the weight it leaves.
+4. Each block scores its documents from the answers.
 
 Blocks and shards are of fixed size and tasks hold a fixed number of them, so
 their number grows with the corpus, and no task, and nothing on the driver, does.
@@ -20,7 +23,8 @@ A block names each n-gram once, however often it has it, and sends nothing to
 shards that it has nothing for: messages are never more than n-grams.  Blocks are
 a table bucketed by block, so only what is asked and answered is shuffled.  What
 follows pairs so frequent that they would fill a shard is dealt to several by a
-hash of the follower.
+hash of the follower.  Which are depends on the size of the corpus, the scores do
+not: they come from the same counts by the same form.
 
 Cases: null, empty and white-space texts are one token, the end.  Rows without an
 id, like all whose remainder is not the held-out one, are learnt from.  Repeated
@@ -41,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm.common import forget, written
-from affinity.llm.ngram_trie import DISCOUNT, Trie, first, one_weight, pairs, second, value
+from affinity.llm.ngram_trie import Trie, after_one, after_two, first, left_over, one_weight, pairs, quantised, second, value
 from affinity.llm.shingles import mixed, word_hashes
 from affinity.storage import bucketed
 
@@ -195,8 +199,7 @@ class _Block:
         some[pair[known]] = np.flatnonzero(known)
         most = np.minimum(self.last_count[some], self.count[some])
         parts = np.maximum(np.ceil(SHARED * shards * most / max(tokens, 1)), 1).astype(np.uint64)
-        base, many = mixed(k2), np.uint64(shards)
-        home = mixed(base) % many
+        base, many, home = mixed(k2), np.uint64(shards), _home(k2, shards)
         to = mixed(base[of] + mixed(s) % parts[of]) % many
         away = to != home[of]
         rows = np.sort(np.concatenate([pairs(home, np.arange(len(k2))), np.unique(pairs(to[away], of[away]))]))
@@ -206,6 +209,11 @@ class _Block:
         return _Grams(pair, triple, context, k2, n2, self.last_count[some], parts > 1, shard, at, shard == home[at].astype(np.int64), s[order], n3[order], np.bincount(row3, minlength=len(rows)), order)
 
 
+def _home(pair: np.ndarray, shards: int) -> np.ndarray:
+    """The first shard of each pair."""
+    return mixed(mixed(pair)) % np.uint64(shards)
+
+
 @dataclass
 class _Grams:
     pair: np.ndarray  # by token: its pair, its triple, and the pair before it; -1 for none
@@ -246,25 +254,75 @@ def _delta(ascending: np.ndarray) -> np.ndarray:
     return _slim(np.diff(ascending.astype(np.uint64), prepend=np.uint64(0)))
 
 
-def _gram_answers(tokens: int):
+def _gram_answers(shards: int, tasks: int, tokens: int):
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Build the shard's trie of what all blocks sent, and answer each."""
+        """Build the shard's trie of what all blocks sent, and answer each.
+
+        Rows of kind 2 and 3 are for ``_dealt_answers``, by the group that stands in
+        place of the block.
+        """
         shard, asked = int(pdf["shard"].iat[0]), [unpack(d) for d in pdf["data"]]
         before = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
         word, n, of_first, shared, followers, follower, n3 = (np.concatenate([a[k].astype(np.uint64) for a in asked]) for k in range(1, 8))
-        of = np.repeat(np.arange(len(word)), followers.astype(np.int64))
-        trie = Trie.mapped(Trie.build(word, before, n.astype(float), of_first.astype(float), shared > 0, of, follower, n3.astype(float), tokens).dump())
-        two, left, three = trie.lookup(word, before, of, follower)
-        out, i, j = [], 0, 0
-        for block, a in zip(pdf["block"], asked):
-            own = slice(i, i + len(a[1]))
-            out.append((block, 1, shard, pack(two[own], left[own][a[5] > 0], three[j : j + len(a[6])])))
-            i, j = i + len(a[1]), j + len(a[6])
+        of, shared = np.repeat(np.arange(len(word)), followers.astype(np.int64)), shared > 0
+        trie = Trie.mapped(Trie.build(word, before, n.astype(float), of_first.astype(float), shared, of, follower, n3.astype(float), tokens).dump())
+        context, entry = trie.places(word, before, of, follower)
+        two, left, three = trie.codes(context, entry)
+        hot3 = shared[of]
+        counts = trie.dealt(context[:0], entry[hot3])[2]
+        out, ends2, ends3 = [], *(np.cumsum([0, *(len(a[k]) for a in asked)]) for k in (1, 6))
+        ends_hot = np.concatenate([[0], np.cumsum(hot3)])[ends3]
+        for k, block in enumerate(pdf["block"]):
+            own, own3 = slice(ends2[k], ends2[k + 1]), slice(ends3[k], ends3[k + 1])
+            plain = ~shared[own]
+            data = pack(two[own][plain], left[own][plain & (followers[own] > 0)], three[own3][~hot3[own3]], _slim(counts[ends_hot[k] : ends_hot[k + 1]]))
+            out.append((block, 1, shard, data))
+
+        # pairs dealt out: their followers here, and which blocks are to hear of them
+        rows = np.flatnonzero(shared)
+        keys, one, inverse = np.unique(pairs(before[rows], word[rows]), return_index=True, return_inverse=True)
+        count, types, _ = trie.dealt(context[rows[one]], entry[:0])
+        home = _home(keys, shards)
+        group = home % np.uint64(tasks)
+        some = types > 0
+        for g in np.unique(group[some]).tolist():
+            own = some & (group == g)
+            out.append((g, 2, shard, pack(_delta(first(keys[own])), second(keys[own]).astype(np.uint32), _slim(types[own]))))
+        here = home == shard
+        if here.any():
+            number = np.cumsum(here) - 1
+            named = here[inverse]
+            of_block = (np.searchsorted(ends2, rows[named], "right") - 1).astype(np.int64)
+            lengths = np.bincount(of_block, minlength=len(asked))
+            data = pack(_delta(first(keys[here])), second(keys[here]).astype(np.uint32), _slim(count[here]), pdf["block"].to_numpy(np.int64).view(np.uint64), _slim(lengths), _slim(number[inverse[named]]))
+            out.append((shard % tasks, 3, shard, data))
         return pd.DataFrame(out, columns=["block", "kind", "shard", "data"])
 
     return answer
 
 
+def _dealt_answers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Add up the followers of pairs that are dealt out; to each block counts of the pairs and codes of the weights they leave."""
+    parts = [unpack(d) for d in pdf.loc[pdf["kind"] == 2, "data"]]
+    keys, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_keys(p) for p in parts)]), return_inverse=True)
+    types = np.append(np.bincount(inverse, np.concatenate([np.zeros(0), *(p[2] for p in parts)]), len(keys)), 0.0)
+    out = []
+    for shard, data in pdf.loc[pdf["kind"] == 3, ["shard", "data"]].itertuples(index=False):
+        data = unpack(data)
+        own, count, (blocks, lengths, asked) = _keys(data), data[2].astype(np.float64), data[3:]
+        at = np.searchsorted(keys, own)
+        at[np.append(keys, np.uint64(0))[at] != own] = len(keys)  # nothing was met after it
+        over, ends = quantised(left_over(types[at], count)), np.cumsum(lengths, dtype=np.int64)
+        for block, i in zip(blocks.view(np.int64).tolist(), np.split(asked, ends[:-1])):
+            if len(i):
+                out.append((block, 2, shard, pack(_slim(data[2][i]), over[i])))
+    return pd.DataFrame(out, columns=["block", "kind", "shard", "data"])
+
+
+def _keys(data: list[np.ndarray]) -> np.ndarray:
+    return pairs(np.cumsum(data[0], dtype=np.uint64), data[1])
+
+
 def _scores(shards: int, tokens: int, types: int):
     whole = tokens + types + 1
 
@@ -273,25 +331,27 @@ def _scores(shards: int, tokens: int, types: int):
         b = _Block(left["data"].iat[0], right.loc[right["kind"] == 0, "data"].tolist())
         g = b.grams(shards, tokens)
         codes = [unpack(d) for d in right.loc[right["kind"] == 1, "data"]]
-        two, over, three = (np.concatenate([np.zeros(0, np.uint16), *(c[k] for c in codes)]) for k in range(3))
+        two, over, three, counts = (np.concatenate([np.zeros(0, np.uint16), *(c[k] for c in codes)]) for k in range(4))
         # the last of each for tokens without one
         met2, over2, met3 = np.zeros(len(g.keys) + 1), np.zeros(len(g.keys) + 1), np.zeros(len(g.order) + 1)
-        shared, met3[g.order] = np.append(g.shared, False), value(three)
-        met2[g.at[g.home]] = value(two[g.home])
-        asked = g.followers > 0
-        over2[g.at[asked & g.home]] = value(over[g.home[asked]])
+        hot = g.shared[g.at]
+        met2[g.at[~hot]] = value(two)
+        over2[g.at[~hot & (g.followers > 0)]] = value(over)
+        # pairs dealt out: what their first shards added up
+        codes, of_hot, at = [unpack(d) for d in right.loc[right["kind"] == 2, "data"]], np.zeros(len(g.keys)), g.at[hot & g.home]
+        of_hot[at], over = (np.concatenate([np.zeros(0, np.uint16), *(c[k] for c in codes)]) for k in (0, 1))
+        met2[at] = value(quantised(after_one(of_hot[at], g.of_first[at])))
+        over2[at] = value(over)
+        hot3 = np.repeat(hot, g.followers)
+        met3[g.order[~hot3]] = value(three)
+        met3[g.order[hot3]] = value(quantised(after_two(counts.astype(np.float64), of_hot[np.repeat(g.at, g.followers)[hot3]])))
         p = (b.count + 1) / whole
         base = np.log10(p)
         # after one word
         weight = one_weight(b.last_count)
         p = np.where((b.last > 0) & (b.last_count > 0), np.minimum(met2[g.pair] + weight / (b.last_count + weight) * p, 1.0), p)
-        # after two: the context's count follows from what is stored of it as a pair
-        of_first = np.append(g.of_first, 0.0)
-        n = np.rint(met2 * (of_first + one_weight(of_first)))[g.context]
-        hot = shared[g.context]
-        own = np.where(hot, met3[g.triple] * tokens / (n + DISCOUNT), met3[g.triple])
-        rest = np.where(hot, DISCOUNT / (n + DISCOUNT), over2[g.context])
-        p = np.where(n > 0, np.minimum(own + rest * p, 1.0), p)
+        # after two
+        p = np.where(met2[g.context] > 0, np.minimum(met3[g.triple] + over2[g.context] * p, 1.0), p)
         total = lambda x: np.bincount(b.doc, x, len(b.lengths))
         ids = pd.array(b.ids, dtype="Int64")
         ids[b.missing != 0] = pd.NA
@@ -320,8 +380,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         forget(made)
         own, to_blocks = blocks.groupBy("block"), lambda rows: rows.repartition(tasks, "block").groupBy("block")
         asked = own.cogroup(to_blocks(words)).applyInPandas(_gram_requests(shards, tokens), "shard long, block long, data binary")
-        grams = written(asked.repartition(tasks, "shard").groupBy("shard").applyInPandas(_gram_answers(tokens), _ANSWER), "grams")
-        found = own.cogroup(to_blocks(words.unionByName(grams))).applyInPandas(_scores(shards, tokens, types), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        grams = written(asked.repartition(tasks, "shard").groupBy("shard").applyInPandas(_gram_answers(shards, tasks, tokens), _ANSWER), "grams")
+        dealt = grams.filter("kind > 1").withColumnRenamed("block", "group").repartition(tasks, "group").groupBy("group").applyInPandas(_dealt_answers, _ANSWER)
+        found = own.cogroup(to_blocks(words.unionByName(grams.filter("kind = 1")).unionByName(dealt))).applyInPandas(_scores(shards, tokens, types), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
         found = written(found, "scores")
     for t in (words, grams):
         forget(t)

@@ -20,9 +20,10 @@ a context of two words the weight D T / C that it leaves to the shorter one, eac
 quantised to two bytes on a logarithmic scale.
 
 The followers of pairs so frequent that they are dealt to several shards are met
-in parts, so no shard knows their context's C and T.  What is stored of them is
-their share of all tokens, and the second form holds with D / (C + D) as the
-weight and c / (C + D) as the first term.
+in parts, so no shard knows their context's C and T.  Beside the share of all
+tokens, their counts are stored as they are, with what the shard knows of C and T
+(``dealt``); the terms are formed, and quantised alike, once the parts are added up.
+So the number of shards decides nothing about the probabilities.
 """
 
 from __future__ import annotations
@@ -56,6 +57,21 @@ def one_weight(context: np.ndarray) -> np.ndarray:
     return WEIGHT * np.maximum(context, 1.0) ** POWER
 
 
+def after_one(count: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The first term after one word."""
+    return count / (context + one_weight(context))
+
+
+def after_two(count: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The first term after two words."""
+    return np.maximum(count - DISCOUNT, 0) / np.maximum(context, 1)
+
+
+def left_over(types: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The weight that two words leave to the nearer one."""
+    return np.minimum(DISCOUNT * types / np.maximum(context, 1), 1.0)
+
+
 def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
 
@@ -84,6 +100,11 @@ class Trie:
     of_context: np.ndarray  # code of the context's nearest word after the word before it
     over: np.ndarray  # code of the weight that the context leaves to its nearest word
     of_entry: np.ndarray  # code of the successor after the context
+    dealt_contexts: EliasFano  # places of the contexts whose followers are dealt to several shards
+    dealt_entries: EliasFano  # places of their entries
+    count: np.ndarray  # by dealt context: its count, where it is stored
+    types: np.ndarray  # by dealt context: its followers in this shard
+    entry_count: np.ndarray  # by dealt entry
 
     @classmethod
     def build(cls, words: np.ndarray, before: np.ndarray, n: np.ndarray, of_first: np.ndarray, shared: np.ndarray, of: np.ndarray, successors: np.ndarray, n3: np.ndarray, total: float) -> Trie:
@@ -104,7 +125,7 @@ class Trie:
         keys, inverse = np.unique(pairs(place[of[met3]], successors[met3]), return_inverse=True)
         c3, of3, s3 = np.bincount(inverse, n3[met3], len(keys)), first(keys).astype(np.int64), second(keys)
         types = np.bincount(of3, minlength=len(contexts))
-        discounted = np.where(is_shared[of3], c3 / max(total, 1), np.maximum(c3 - DISCOUNT, 0) / np.maximum(count[of3], 1))
+        discounted = np.where(is_shared[of3], c3 / max(total, 1), after_two(c3, count[of3]))
 
         nearest = first(contexts)
         nodes = _distinct(nearest)
@@ -123,27 +144,35 @@ class Trie:
             EliasFano.encode(of3.astype(np.uint64) * np.uint64(ranks) + rank.astype(np.uint64)),
             universe,
             ranks,
-            quantised(count / (first_count + one_weight(first_count))),
-            quantised(np.where(is_shared, 0, np.minimum(DISCOUNT * types / np.maximum(count, 1), 1.0))),
+            quantised(after_one(count, first_count)),
+            quantised(np.where(is_shared, 0, left_over(types, count))),
             quantised(discounted),
+            EliasFano.encode(np.flatnonzero(is_shared)),
+            EliasFano.encode(np.flatnonzero(is_shared[of3])),
+            count[is_shared].astype(np.uint64),
+            types[is_shared].astype(np.uint64),
+            c3[is_shared[of3]].astype(np.uint64),
         )
 
     def dump(self) -> bytes:
         """The levels one after another, each at a multiple of eight bytes."""
-        levels = [e.buffer for e in (self.words, self.successors, self.first_successor, self.contexts, self.entries)]
-        parts = [bytes(p) for p in (*levels, self.of_context.tobytes(), self.over.tobytes(), self.of_entry.tobytes())]
+        levels = [e.buffer for e in (self.words, self.successors, self.first_successor, self.contexts, self.entries, self.dealt_contexts, self.dealt_entries)]
+        values = (self.of_context, self.over, self.of_entry, self.count, self.types, self.entry_count)
+        parts = [bytes(p) for p in (*levels, *(v.tobytes() for v in values))]
         head = np.array([self.universe, self.ranks, *map(len, parts)], np.int64).tobytes()
         return head + b"".join(p + bytes(-len(p) % 8) for p in parts)
 
     @classmethod
     def open(cls, buffer) -> Trie:
         """The trie in a buffer, such as a mapped file; its levels are not copied."""
-        universe, ranks, *sizes = np.frombuffer(buffer, np.int64, 10).tolist()
-        view, at, parts = memoryview(buffer), 80, []
+        universe, ranks, *sizes = np.frombuffer(buffer, np.int64, 15).tolist()
+        view, at, parts = memoryview(buffer), 120, []
         for size in sizes:
             parts.append(view[at : at + size])
             at += size + -size % 8
-        return cls(*map(EliasFano, parts[:5]), universe, ranks, *(np.frombuffer(p, np.uint16) for p in parts[5:]))
+        levels = [EliasFano(p) for p in parts[:7]]
+        codes, counts = (np.frombuffer(p, np.uint16) for p in parts[7:10]), (np.frombuffer(p, np.uint64) for p in parts[10:])
+        return cls(*levels[:5], universe, ranks, *codes, *levels[5:], *counts)
 
     @classmethod
     def mapped(cls, data: bytes) -> Trie:
@@ -163,8 +192,8 @@ class Trie:
         at = level.find(np.where(known, node, 0).astype(np.uint64) * np.uint64(self.universe) + np.where(known, child, 0).astype(np.uint64))
         return np.where(known, at, -1)
 
-    def lookup(self, words: np.ndarray, before: np.ndarray, of: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of pairs (before, word), of the weights they leave, and of triples: the pair at place ``of`` and a successor."""
+    def places(self, words: np.ndarray, before: np.ndarray, of: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of pairs (before, word) and entries of triples, the pair at place ``of`` and a successor; -1 for none."""
         runs = np.append(True, words[1:] != words[:-1]) if len(words) else np.zeros(0, bool)
         node = self.words.find(words[runs])
         start = self.first_successor.at(np.maximum(node, 0)).astype(np.int64) if self.first_successor.n else np.zeros(len(node), np.int64)
@@ -176,10 +205,23 @@ class Trie:
         met = (context[of] >= 0) & (at >= 0) & (rank < self.ranks)
         entry = np.full(len(of), -1, np.int64)
         entry[met] = self.entries.find(context[of][met].astype(np.uint64) * np.uint64(self.ranks) + rank[met].astype(np.uint64))
+        return context, entry
+
+    def lookup(self, words: np.ndarray, before: np.ndarray, of: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of pairs (before, word), of the weights they leave, and of triples: the pair at place ``of`` and a successor."""
+        return self.codes(*self.places(words, before, of, successors))
+
+    def codes(self, context: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of contexts, of the weights they leave, and of entries, by their places."""
         return _take(self.of_context, context), _take(self.over, context), _take(self.of_entry, entry)
 
+    def dealt(self, context: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts and numbers of followers of contexts, and counts of entries, by their places; 0 where they are not dealt out."""
+        context, entry = np.where(context >= 0, self.dealt_contexts.find(np.maximum(context, 0)), -1), np.where(entry >= 0, self.dealt_entries.find(np.maximum(entry, 0)), -1)
+        return _take(self.count, context), _take(self.types, context), _take(self.entry_count, entry)
+
 
-def _take(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    if not len(codes):
-        return np.zeros(len(at), np.uint16)
-    return np.where(at >= 0, codes[np.maximum(at, 0)], 0).astype(np.uint16)
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    if not len(values):
+        return np.zeros(len(at), values.dtype)
+    return np.where(at >= 0, values[np.maximum(at, 0)], 0).astype(values.dtype)

@@ -361,6 +361,75 @@ def test_scores_against_plain_counts(spark, monkeypatch, size):
         assert r["base_score"] == pytest.approx(base, abs=1e-6) and abs(r["score"] - score) < 0.0005 * tokens
 
 
+def one_form_scores(texts, held_out):
+    """Scores by plain counts, every pair by the same form."""
+    toks = {i: (x or "").encode().lower().split() + [b""] for i, x in texts.items()}
+    one, two, three, of_one, of_two, types = (collections.Counter() for _ in range(6))
+    for i, w in toks.items():
+        if not held_out(i):
+            x = [b"", *w]
+            one.update(w)
+            two.update(zip(x, x[1:]))
+            three.update(zip(x, x[1:], x[2:]))
+    for (u, _), n in two.items():
+        of_one[u] += n
+    for (u, v, _), n in three.items():
+        of_two[u, v] += n
+        types[u, v] += 1
+    n, out = sum(one.values()), {}
+    for i, w in toks.items():
+        score, before = 0.0, (None, b"")
+        for t in w:
+            p = (one[t] + 1) / (n + len(one) + 1)
+            if c := of_one[before[1]]:
+                m = 6 * c**0.85
+                p = (two[before[1], t] + m * p) / (c + m)
+            if c := of_two[before]:
+                p = (max(three[*before, t] - 0.9, 0) + 0.9 * types[before] * p) / c
+            score, before = score + math.log10(p), (before[1], t)
+        out[i] = (len(w), score)
+    return out
+
+
+def test_scores_do_not_depend_on_the_number_of_shards(spark, monkeypatch):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    want = one_form_scores(texts, lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
+    got = []
+    for size in (lm_score.SHARD_TOKENS, 3000):  # 8 shards and 27
+        monkeypatch.setattr(lm_score, "SHARD_TOKENS", size)
+        monkeypatch.setattr(lm_score, "TASK_TOKENS", 4 * size)
+        got.append({r["doc_id"]: r["score"] for r in queries.op9_lm_score(spark, SMALL).collect()})
+    assert got[0] == got[1] and got[0].keys() == want.keys()
+    for i, (tokens, score) in want.items():
+        assert abs(got[0][i] - score) < 0.0005 * tokens
+
+
+def test_scores_do_not_depend_on_rows_held_out(spark, monkeypatch):
+    """What is not learnt from adds shards, here 8 to 72, and nothing else."""
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 10_000)
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    more = docs.unionByName(docs.crossJoin(spark.range(1, 9)).select((F.col("doc_id") + F.col("id") * 10**6).alias("doc_id"), "text"))
+    few, many = (lm_score.score(d, F.col("id") >= 10**6).filter("doc_id < 1000000").collect() for d in (docs, more))
+    assert len(few) == docs.count() and {r["doc_id"]: r for r in few} == {r["doc_id"]: r for r in many}
+
+
+def test_dealt_counts_of_a_shard():
+    r = np.random.default_rng(8)
+    words, before, follower = (r.integers(1, 40, 4000).astype(np.uint64) for _ in range(3))
+    of, n3 = np.arange(4000), r.integers(0, 3, 4000).astype(float)
+    shared = (words + before) % 3 == 0
+    trie = ngram_trie.Trie.mapped(ngram_trie.Trie.build(words, before, n3, (words + before).astype(float), shared, of, follower, n3, 100.0).dump())
+    count, types, entries = trie.dealt(*trie.places(words, before, of, follower))
+    c2, c3, met = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    rows = list(zip(words.tolist(), before.tolist(), follower.tolist(), n3.tolist(), shared.tolist()))
+    for v, u, w, c, _ in rows:
+        c2[v, u] += c
+        c3[v, u, w] += c
+        met[v, u] |= {w} if c else set()
+    want = [(c2[v, u], len(met[v, u]), c3[v, u, w]) if hot else (0, 0, 0) for v, u, w, _, hot in rows]
+    assert list(zip(count.tolist(), types.tolist(), entries.tolist())) == want
+
+
 def test_language_model_cases(spark):
     docs = documents(spark)
     got = lm_score.score(docs, F.lit(False)).collect()
