@@ -14,6 +14,9 @@ import numpy as np
 
 _CHUNK = 1 << 16
 _ONE = np.uint64(1)
+_PAIRS, _FOURS, _NIBBLES, _BYTES, _TOPS = (np.uint64(k) for k in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080))
+#: By rank and byte: the place of the byte's one of that rank.
+_IN_BYTE = np.array([([k for k in range(8) if byte >> k & 1] + [0] * 8)[rank] for rank in range(8) for byte in range(256)], np.int64)
 
 
 class EliasFano:
@@ -79,14 +82,13 @@ class EliasFano:
         word = np.searchsorted(before, rank, "right") - 1
         left = (rank - before[word]).astype(np.uint64)
         bits = ~self.high[word] if zeros else self.high[word]
-        at = word * 64
-        for half in (32, 16, 8, 4, 2, 1):  # the half in which the bit is, again and again
-            count = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.uint64)
-            upper = left >= count
-            left -= np.where(upper, count, 0).astype(np.uint64)
-            bits = np.where(upper, bits >> np.uint64(half), bits)
-            at += np.where(upper, half, 0)
-        return at
+        # ones of every byte and those before it, all eight at once; those bytes are passed that hold no more than are left
+        ones = bits - (bits >> _ONE & _PAIRS)
+        ones = (ones & _FOURS) + (ones >> np.uint64(2) & _FOURS)
+        ones = (ones + (ones >> np.uint64(4)) & _NIBBLES) * _BYTES
+        byte = np.bitwise_count((left * _BYTES | _TOPS) - ones & _TOPS).astype(np.uint64) << np.uint64(3)
+        left -= ones << np.uint64(8) >> byte & np.uint64(255)
+        return word * 64 + byte.astype(np.int64) + _IN_BYTE[(left << np.uint64(8) | bits >> byte & np.uint64(255)).astype(np.int64)]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The index of each value, -1 where it is not in the sequence: successor search."""

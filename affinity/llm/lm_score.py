@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm.common import forget, written
-from affinity.llm.ngram_trie import Trie, after_one, after_two, first, left_over, one_weight, pairs, quantised, second, value
+from affinity.llm.ngram_trie import Trie, after_one, after_two, distinct, first, left_over, one_weight, pairs, quantised, second, value
 from affinity.llm.shingles import mixed, word_hashes
 from affinity.storage import bucketed
 
@@ -202,10 +202,10 @@ class _Block:
         base, many, home = mixed(k2), np.uint64(shards), _home(k2, shards)
         to = mixed(base[of] + mixed(s) % parts[of]) % many
         away = to != home[of]
-        rows = np.sort(np.concatenate([pairs(home, np.arange(len(k2))), np.unique(pairs(to[away], of[away]))]))
+        rows = np.sort(np.concatenate([pairs(home, np.arange(len(k2))), distinct(np.sort(pairs(to[away], of[away])))]))
         shard, at = (rows >> np.uint64(32)).astype(np.int64), second(rows).astype(np.int64)
-        row3 = np.searchsorted(rows, pairs(to, of))
-        order = np.argsort(row3, kind="stable")
+        order = second(np.sort(pairs(to, np.arange(len(k3))))).astype(np.int64)  # triples come by their pair, so within a shard they still do
+        row3 = np.searchsorted(rows, pairs(to[order], of[order]))
         return _Grams(pair, triple, context, k2, n2, self.last_count[some], parts > 1, shard, at, shard == home[at].astype(np.int64), s[order], n3[order], np.bincount(row3, minlength=len(rows)), order)
 
 

@@ -84,7 +84,7 @@ def second(key: np.ndarray) -> np.ndarray:
     return key & np.uint64(0xFFFFFFFF)
 
 
-def _distinct(ascending: np.ndarray) -> np.ndarray:
+def distinct(ascending: np.ndarray) -> np.ndarray:
     return ascending[np.append(True, ascending[1:] != ascending[:-1])] if len(ascending) else ascending
 
 
@@ -128,13 +128,13 @@ class Trie:
         discounted = np.where(is_shared[of3], c3 / max(total, 1), after_two(c3, count[of3]))
 
         nearest = first(contexts)
-        nodes = _distinct(nearest)
+        nodes = distinct(nearest)
         node = np.searchsorted(nodes, nearest)
         universe = int(max(second(contexts).max(initial=0), s3.max(initial=0))) + 1
         u = np.uint64(universe)
-        after = np.unique(node[of3].astype(np.uint64) * u + s3)
+        after, rank = np.unique(node[of3].astype(np.uint64) * u + s3, return_inverse=True)
         start = np.searchsorted(after, np.arange(len(nodes), dtype=np.uint64) * u)
-        rank = np.searchsorted(after, node[of3].astype(np.uint64) * u + s3) - start[node[of3]]
+        rank = rank - start[node[of3]]
         ranks = int(rank.max(initial=0)) + 1
         return cls(
             EliasFano.encode(nodes),
@@ -194,6 +194,10 @@ class Trie:
 
     def places(self, words: np.ndarray, before: np.ndarray, of: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Contexts of pairs (before, word) and entries of triples, the pair at place ``of`` and a successor; -1 for none."""
+        # each is searched once, in the order of its level, however many blocks ask for it
+        keys, asked = np.unique(pairs(words, before), return_inverse=True)
+        keys3, asked3 = np.unique(pairs(asked[of], successors), return_inverse=True)
+        words, before, of, successors = first(keys), second(keys), first(keys3).astype(np.int64), second(keys3)
         runs = np.append(True, words[1:] != words[:-1]) if len(words) else np.zeros(0, bool)
         node = self.words.find(words[runs])
         start = self.first_successor.at(np.maximum(node, 0)).astype(np.int64) if self.first_successor.n else np.zeros(len(node), np.int64)
@@ -205,7 +209,7 @@ class Trie:
         met = (context[of] >= 0) & (at >= 0) & (rank < self.ranks)
         entry = np.full(len(of), -1, np.int64)
         entry[met] = self.entries.find(context[of][met].astype(np.uint64) * np.uint64(self.ranks) + rank[met].astype(np.uint64))
-        return context, entry
+        return context[asked], entry[asked3]
 
     def lookup(self, words: np.ndarray, before: np.ndarray, of: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of pairs (before, word), of the weights they leave, and of triples: the pair at place ``of`` and a successor."""

@@ -413,6 +413,22 @@ def test_scores_do_not_depend_on_rows_held_out(spark, monkeypatch):
     assert len(few) == docs.count() and {r["doc_id"]: r for r in few} == {r["doc_id"]: r for r in many}
 
 
+def test_repeated_requests_are_searched_once(monkeypatch):
+    """Many blocks ask for the same n-grams; each is searched once and handed to all."""
+    r = np.random.default_rng(9)
+    words, before, follower = (r.integers(1, 60, 500).astype(np.uint64) for _ in range(3))
+    of, n3, shared = np.arange(500), r.integers(0, 3, 500).astype(float), (words + before) % 7 == 0
+    trie = ngram_trie.Trie.mapped(ngram_trie.Trie.build(words, before, n3, (words + before).astype(float), shared, of, follower, n3, 100.0).dump())
+    alone, searched, find = trie.places(words, before, of, follower), [], EliasFano._find
+    monkeypatch.setattr(EliasFano, "_find", lambda self, v: searched.append(len(v)) or find(self, v))
+    trie.places(words, before, of, follower)
+    once = sum(searched)
+    searched.clear()
+    many = trie.places(*(np.tile(a, 30) for a in (words, before)), np.concatenate([of + 500 * k for k in range(30)]), np.tile(follower, 30))
+    assert sum(searched) == once
+    assert all((m.reshape(30, 500) == a).all() for m, a in zip(many, alone))
+
+
 def test_dealt_counts_of_a_shard():
     r = np.random.default_rng(8)
     words, before, follower = (r.integers(1, 40, 4000).astype(np.uint64) for _ in range(3))
