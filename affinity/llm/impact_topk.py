@@ -55,9 +55,12 @@ class ImpactIndex:
 
     def __init__(self, x: np.ndarray, rows: np.ndarray, ends: np.ndarray, most: np.ndarray, least: np.ndarray):
         self.x = x.astype(np.float64)  # sums stay exact below 2^53
-        self.rows, self.ends = rows.astype(np.int64), ends.astype(np.int64)  # by component: rows from the least level up; where each level ends
+        # by component: rows from the least level up, those of one component next to each other in memory; where each level ends
+        self.rows, self.ends = np.ascontiguousarray(rows), ends.astype(np.int64)
         self.most, self.least = most.astype(np.float64), least.astype(np.float64)  # by component and level
-        self.impacts = np.take_along_axis(self.x.T, self.rows, axis=1)  # by component and posting
+        self.impacts = np.ascontiguousarray(np.take_along_axis(self.x.T, self.rows.astype(np.int64), axis=1))  # by component and posting
+        self.reach = np.maximum(np.abs(self.most), np.abs(self.least)).max(axis=1)  # by component: the largest impact, of either sign
+        self._rows, self._adds = np.zeros(0, np.int64), np.zeros(0)
 
     @classmethod
     def parts(cls, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -106,25 +109,34 @@ class ImpactIndex:
         sizes = np.where(up[:, None], sizes[:, ::-1], sizes)
         adds = np.where(sizes > 0, adds, -np.inf)
         ends = np.cumsum(sizes, axis=1)
-        ranked = np.argsort(-adds, axis=None, kind="stable")
+        bars = adds.ravel()[ranked := np.argsort(-adds, axis=None)]  # equal ones share a bar, so their order is nothing
         through = np.cumsum(sizes.ravel()[ranked])
-        total, score, met = int(through[-1]), np.zeros(n), np.zeros(n, np.int64)
+        total, score, met = int(through[-1]), np.zeros(n), np.zeros(n)
+        # one sum holds the impacts of a row and, in steps of over four times what they can come to, how many were met
+        step = float(np.exp2(np.ceil(np.log2(4 * (self.reach[parts] * np.abs(w)).sum() + 4))))
+        together = step * (len(parts) + 1) < 2.0**53
         done = np.zeros(len(parts), np.int64)  # postings read of each component
         weights, columns = w.tolist(), parts.tolist()
         for share in LOOKS:
             # all segments that add as much as the last one of this share
-            bar = adds.ravel()[ranked[min(int(np.searchsorted(through, share * total)), len(ranked) - 1)]] if share < 1 else -np.inf
+            bar = bars[min(int(np.searchsorted(through, share * total)), len(bars) - 1)] if share < 1 else -np.inf
             read = np.where((reach := (adds >= bar) & (sizes > 0)).any(axis=1), ends[np.arange(len(parts)), adds.shape[1] - 1 - reach[:, ::-1].argmax(axis=1)], 0) if share < 1 else ends[:, -1]
-            rows, add = [], []
+            (rows, add), m = self._room(int(np.maximum(read - done, 0).sum())), 0
             for d, weight, a, b in zip(columns, weights, done.tolist(), read.tolist()):
                 if b > a:
-                    part = slice(n - b, n - a) if weight > 0 else slice(a, b)
-                    rows.append(self.rows[d, part])
-                    add.append(self.impacts[d, part] * weight)
-            if rows:
-                at = np.concatenate(rows)
-                score += np.bincount(at, np.concatenate(add), n)
-                met += np.bincount(at, minlength=n)
+                    part, to = slice(n - b, n - a) if weight > 0 else slice(a, b), slice(m, m + b - a)
+                    rows[to] = self.rows[d, part]
+                    np.multiply(self.impacts[d, part], weight, out=add[to])
+                    m += b - a
+            if m and together:
+                np.add(add[:m], step, out=add[:m])
+                sums = np.bincount(rows[:m], add[:m], n)
+                times = np.rint(sums / step)
+                met += times
+                score += sums - times * step
+            elif m:
+                score += np.bincount(rows[:m], add[:m], n)
+                met += np.bincount(rows[:m], minlength=n)
             done = np.maximum(done, read)
             # the most that is left: by component never met, or the largest of those begun
             left = np.max(np.where((ends > done[:, None]) & (sizes > 0), adds, -np.inf), axis=1)
@@ -141,6 +153,12 @@ class ImpactIndex:
                 return self._exact(may, q, k, known, names)
         raise AssertionError
 
+    def _room(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Space for the rows and impacts of m postings, kept for the next query."""
+        if len(self._rows) < m:
+            self._rows, self._adds = np.empty(m, np.int64), np.empty(m)
+        return self._rows, self._adds
+
     def _exact(self, at: np.ndarray, q: np.ndarray, k: int, known: float, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = (self.x[at] @ q.astype(np.float64)).astype(np.int64)
         reach = s >= known

@@ -111,6 +111,22 @@ def test_stops_only_on_proof():
         assert index.top(q, 6, float(want[2]), np.arange(3000))[1].tolist() == [s for s in want if s >= want[2]]
 
 
+@pytest.mark.parametrize("top,sums", [(40, 1), (1 << 22, 2)])
+def test_a_posting_is_read_once(monkeypatch, top, sums):
+    """Impacts and how often a row was met are one sum wherever both fit a double exactly, and a component's postings lie together."""
+    r = np.random.default_rng(5)
+    x = r.integers(-top, top, (3000, 16))
+    index = impact_topk.ImpactIndex.load(impact_topk.ImpactIndex.dump(x))
+    assert index.rows.flags.c_contiguous and index.impacts.flags.c_contiguous
+    counted, looks, bincount, argpartition = [], [], np.bincount, np.argpartition
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: counted.append(1) or bincount(*a, **k))
+    monkeypatch.setattr(np, "argpartition", lambda *a, **k: looks.append(1) or argpartition(*a, **k))
+    for q in r.integers(-top, top, (10, 16)):
+        at, got = index.top(q, 6, float("-inf"), np.arange(3000))
+        assert got.tolist() == sorted((x @ q).tolist(), reverse=True)[:6] and (x[at] @ q == got).all()
+    assert looks and len(counted) == sums * len(looks)
+
+
 def test_few_segments_are_enough_where_impacts_differ():
     """One component decides: its postings come first and the rest is never read."""
     r = np.random.default_rng(4)
